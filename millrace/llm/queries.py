@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import labels as L
 from millrace.llm import near_copies as N
+from millrace.llm import overlap as O
+from millrace.llm import pieces as P
 from millrace.shared import table
 
 #: The statement of the two problems on word sequences: three words, at least 20 words.
@@ -27,6 +30,47 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("id").alias("record_id"), "group_id", "n_links")
 
 
+SPLIT_COPIES = O.Containment(share=0.8, run_words=3, least_words=20)
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), "content", "split_name")
+    return O.overlaps(t.where(F.col("split_name").isin("test", "val")), t.where("split_name = 'train'"), SPLIT_COPIES)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("eval_id", "train_id").alias("record_a"), F.greatest("eval_id", "train_id").alias("record_b")).distinct()
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping evaluation records and their pairs by split, repository and file type, beside all records of the slice."""
+    kept = ["record_id", "split_name", "repo", "filetype"]
+    t = table(spark, d, "all_hybrid").where(F.col("split_name").isin("test", "val")).select(*kept).dropDuplicates(["record_id"])
+    t = t.select("record_id", "split_name", L.label("repo").alias("repo"), L.filetype("filetype").alias("filetype"))
+    pairs = _overlaps(spark, d).groupBy(F.col("eval_id").alias("record_id")).agg(F.count("*").alias("n"))
+    return (
+        t.join(pairs, "record_id", "left")
+        .groupBy("split_name", "repo", "filetype")
+        .agg(F.count("*").alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    )
+
+
+def _limits(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r["limit_name"]: r["limit_value"] for r in table(spark, d, "run_limits").select("limit_name", "limit_value").collect()}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    x = _limits(spark, d)
+    cut_up = P.pieces(_records(spark, d), x["item_limit"], x["item_overlap"], texts=False)
+    kind = F.when(F.col("longest_line") > x["item_limit"], "inside_line").otherwise("line_ends")
+    return cut_up.where("piece = 0").select(F.col("id").alias("record_id"), kind.alias("cut_kind"))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    x = _limits(spark, d)
+    return P.pieces(_records(spark, d), x["item_limit"], x["item_overlap"]).withColumnRenamed("id", "record_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
