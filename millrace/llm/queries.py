@@ -11,6 +11,7 @@ from millrace.llm import labels as L
 from millrace.llm import near_copies as N
 from millrace.llm import overlap as O
 from millrace.llm import pieces as P
+from millrace.llm import sentences as Z
 from millrace.shared import table
 
 #: The statement of the two problems on word sequences: three words, at least 20 words.
@@ -71,6 +72,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return P.pieces(_records(spark, d), x["item_limit"], x["item_overlap"]).withColumnRenamed("id", "record_id")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return Z.sentence_units(_documents(spark, d), texts=False).select(F.col("id").alias("doc_id"), "start_pos", "end_pos")
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return Z.sentence_units(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
