@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import budget as B
+from millrace.llm import containers as C
 from millrace.llm import labels as L
+from millrace.llm import mixing as M
 from millrace.llm import near_copies as N
 from millrace.llm import overlap as O
 from millrace.llm import pieces as P
 from millrace.llm import sentences as Z
-from millrace.shared import table
+from millrace.llm import tokenizers as T
+from millrace.shared import cut, table
 
 #: The statement of the two problems on word sequences: three words, at least 20 words.
 COPIES = N.Digest(threshold=0.7, run_words=3, least_words=20)
@@ -84,6 +88,58 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
     return Z.sentence_units(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.filetype("filetype").alias("language"), F.col("content").alias("text"))
+
+
+def _code_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = _code(spark, d)
+    return B.estimates(t, B.models(t))
+
+
+def p4_record_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _code_counts(spark, d).select(F.col("id").alias("record_id"), "n_bytes", "n_tokens")
+
+
+def p4_slice_tokens(spark: SparkSession, d: str) -> DataFrame:
+    repos = table(spark, d, "repos").select(L.label("repo").alias("repo"), "domain_name")
+    labels = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.label("repo").alias("repo"), L.filetype("filetype").alias("filetype"))
+    return B.totals(_code_counts(spark, d), labels.join(repos, "repo", "left"), ["repo", "filetype", "domain_name"])
+
+
+def p4_models(spark: SparkSession, d: str) -> DataFrame:
+    return B.models(_code(spark, d)).select("label", "n_fitted", "n_held", "bias", "error")
+
+
+def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), L.language("lang").alias("language"), "text", L.source("source").alias("source"), "domain_name")
+    return B.totals(B.estimates(t, B.models(t)), t.select("id", "source", F.col("language").alias("lang"), "domain_name"), ["source", "lang", "domain_name"])
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    x = C.Packing(capacity=_limits(spark, d)["container_capacity"])
+    return C.packed(_documents(spark, d), x).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    x = C.Packing(capacity=_limits(spark, d)["container_capacity"])
+    return C.fill(C.packed(_documents(spark, d), x), x.capacity)
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), L.source("source").alias("source"), "text")
+    sized = cut(T.token_counts(t, keep=["source"]), "sized")
+    return M.mixed(sized, table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
