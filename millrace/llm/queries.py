@@ -16,6 +16,7 @@ from millrace.llm import overlap as O
 from millrace.llm import pieces as P
 from millrace.llm import sentences as Z
 from millrace.llm import tokenizers as T
+from millrace.llm import validity as V
 from millrace.shared import cut, table
 
 #: The statement of the two problems on word sequences: three words, at least 20 words.
@@ -140,6 +141,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return V.checked(table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), "filetype", "content"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("size(accepted_by) = 0").select(F.col("id").alias("record_id"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.label("repo").alias("repo")).dropDuplicates(["id"])
+    names = table(spark, d, "filetype_names").select("filetype", "language_name")
+    return V.rates(_checked(spark, d).join(t, "id").join(names, "filetype", "left"), ["repo", "language_name"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
