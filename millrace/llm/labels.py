@@ -11,6 +11,11 @@ def label(name: str) -> Column:
     return F.nullif(F.lower(F.btrim(F.col(name), F.lit(" \t\r\n"))), F.lit(""))
 
 
+def repo(name: str) -> Column:
+    """As `label`, without slashes at the end."""
+    return F.nullif(F.regexp_replace(label(name), r"/+$", ""), F.lit(""))
+
+
 def filetype(name: str) -> Column:
     """As `label`, also without one leading dot."""
     return F.nullif(F.regexp_replace(label(name), r"^\.", ""), F.lit(""))

@@ -52,7 +52,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping evaluation records and their pairs by split, repository and file type, beside all records of the slice."""
     kept = ["record_id", "split_name", "repo", "filetype"]
     t = table(spark, d, "all_hybrid").where(F.col("split_name").isin("test", "val")).select(*kept).dropDuplicates(["record_id"])
-    t = t.select("record_id", "split_name", L.label("repo").alias("repo"), L.filetype("filetype").alias("filetype"))
+    t = t.select("record_id", "split_name", L.repo("repo").alias("repo"), L.filetype("filetype").alias("filetype"))
     pairs = _overlaps(spark, d).groupBy(F.col("eval_id").alias("record_id")).agg(F.count("*").alias("n"))
     return (
         t.join(pairs, "record_id", "left")
@@ -103,8 +103,8 @@ def p4_record_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_slice_tokens(spark: SparkSession, d: str) -> DataFrame:
-    repos = table(spark, d, "repos").select(L.label("repo").alias("repo"), "domain_name")
-    labels = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.label("repo").alias("repo"), L.filetype("filetype").alias("filetype"))
+    repos = table(spark, d, "repos").select(L.repo("repo").alias("repo"), "domain_name")
+    labels = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.repo("repo").alias("repo"), L.filetype("filetype").alias("filetype"))
     return B.totals(_code_counts(spark, d), labels.join(repos, "repo", "left"), ["repo", "filetype", "domain_name"])
 
 
@@ -150,7 +150,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.label("repo").alias("repo")).dropDuplicates(["id"])
+    t = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.repo("repo").alias("repo")).dropDuplicates(["id"])
     names = table(spark, d, "filetype_names").select("filetype", "language_name")
     return V.rates(_checked(spark, d).join(t, "id").join(names, "filetype", "left"), ["repo", "language_name"])
 
