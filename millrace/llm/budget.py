@@ -136,7 +136,7 @@ def models(texts: DataFrame, how: Budget = Budget()) -> DataFrame:
         left, right = _columns(x[a]) * weight[a, None], y[a] * weight[a]
         scale = np.sqrt((left**2).mean(0)) + 1e-9
         left = left / scale
-        w = np.linalg.solve(left.T @ left + 1e-3 * a.sum() * np.eye(left.shape[1]) * 0.1, left.T @ right) / scale
+        w = np.linalg.solve(left.T @ left + 1e-4 * a.sum() * np.eye(left.shape[1]), left.T @ right) / scale
         guess = np.maximum(_columns(x[held]) @ w, 0)
         bias = y[held].sum() / guess.sum() if guess.sum() > 0 else 1.0
         error = np.abs(guess * bias - y[held]).mean() / max(y[held].mean(), 1e-9)
@@ -175,7 +175,7 @@ def estimates(texts: DataFrame, fitted: DataFrame) -> DataFrame:
 def totals(counts: DataFrame, labels: DataFrame, by: list[str | Column]) -> DataFrame:
     """n_texts, n_bytes and n_tokens of each combination of `by`, columns of `labels` (id, ...); null is a label like others."""
     return (
-        counts.join(labels.dropDuplicates(["id"]), "id")
+        counts.join(labels.select("id", *by).dropDuplicates(["id"]), "id")
         .groupBy(*by)
         .agg(F.count("*").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
     )

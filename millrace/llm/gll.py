@@ -34,7 +34,7 @@ class Kinds:
 
 class Grammar:
     def __init__(self, text: str, dialects: tuple[str, ...], kinds: Kinds, sets: dict[str, tuple[str, ...]] | None = None, memory: int = 200_000) -> None:
-        """sets: names in capitals for several kinds. memory: accepted inputs that `accepts` keeps, least recent first out."""
+        """sets: names in capitals for several kinds. memory: results that `accepts` keeps, least recently used out first."""
         self.kinds, self.dialects = kinds, dialects
         self.sets = {k: frozenset(kinds[x] for x in v) for k, v in (sets or {}).items()}
         self.rules: dict[str, list] = {}
@@ -58,7 +58,7 @@ class Grammar:
             for d in dialects if n in own else ("",):
                 self._compile_rule(n, d)
         self._link()
-        self.accepts = lru_cache(maxsize=memory)(self._accepts)
+        self.remembered = lru_cache(maxsize=memory)(self._accepts)
 
     # -- reading
 
@@ -173,6 +173,10 @@ class Grammar:
 
     # -- recognising
 
+    def accepts(self, rule: str, tokens: str) -> frozenset[str]:
+        """As `_accepts`; what short inputs gave is kept."""
+        return self.remembered(rule, tokens) if len(tokens) <= 4096 else self._accepts(rule, tokens)
+
     def _accepts(self, rule: str, tokens: str) -> frozenset[str]:
         """The dialects under which all of `tokens`, a string of kinds, derives from the rule."""
         code, size = self.code, len(tokens)

@@ -479,41 +479,35 @@ _JSON_TOKEN = re.compile(
     r"""[ \t\r\n]*+(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|([\[\]{},:])|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(\Z)|(.))""", re.S | re.A
 )
 _J = {k: re.escape(v) for k, v in _JSON.of.items()}
-_JSON_GROUP = re.compile(f"{_J['[']}[^{_J['[']}{_J[']']}{_J['{']}{_J['}']}]*{_J[']']}|{_J['{']}[^{_J['[']}{_J[']']}{_J['{']}{_J['}']}]*{_J['}']}")
-_JSON_RUN = re.compile(f"((?:{_J['VALUE']}{_J[',']}){{2}})(?:{_J['VALUE']}{_J[',']})+|((?:{_J['STRING']}{_J[',']}){{2}})(?:{_J['STRING']}{_J[',']})+|((?:{_J['STRING']}{_J[':']}(?:{_J['VALUE']}|{_J['STRING']}){_J[',']}){{2}})(?:{_J['STRING']}{_J[':']}(?:{_J['VALUE']}|{_J['STRING']}){_J[',']})+")
+_JSON_PAIR = f"{_J['STRING']}{_J[':']}(?:{_J['VALUE']}|{_J['STRING']}){_J[',']}"
+_JSON_RUN = re.compile(f"((?:(?:{_J['VALUE']}|{_J['STRING']}){_J[',']}){{2}})(?:(?:{_J['VALUE']}|{_J['STRING']}){_J[',']})+|((?:{_JSON_PAIR}){{2}})(?:{_JSON_PAIR})+")
 
 
 def json_value(text: str) -> frozenset[str]:
     """Innermost arrays and objects are judged first and then stand as values."""
-    kinds: list[str] = []
+    stack: list[list[str]] = [[]]
     for m in _JSON_TOKEN.finditer(text):
         k = m.lastindex
         if k == 1:
-            kinds.append(_J_STRING)
+            stack[-1].append(_J_STRING)
         elif k == 2:
-            kinds.append(_JSON_OP[m[2]])
+            c = m[2]
+            if c in "[{":
+                stack.append([_JSON_OP[c]])
+            elif c in "]}":
+                part = "".join((*stack.pop(), _JSON_OP[c]))
+                if not stack or not JSON.accepts("array" if c == "]" else "object", _JSON_RUN.sub(lambda r: r[1] or r[2], part)):
+                    return frozenset()
+                stack[-1].append(_J_VALUE)
+            else:
+                stack[-1].append(_JSON_OP[c])
         elif k == 3:
-            kinds.append(_J_VALUE)
+            stack[-1].append(_J_VALUE)
         elif k == 5:
             return frozenset()
         else:
             break
-    s = "".join(kinds)
-    bad = False
-
-    def group(m: re.Match) -> str:
-        nonlocal bad
-        part = _JSON_RUN.sub(lambda r: r[1] or r[2] or r[3], m[0])
-        if not JSON.accepts("array" if part[0] == _JSON_OP["["] else "object", part):
-            bad = True
-        return _J_VALUE
-
-    while not bad:
-        shorter = _JSON_GROUP.sub(group, s)
-        if shorter == s:
-            break
-        s = shorter
-    return frozenset() if bad else JSON.accepts("value", s)
+    return JSON.accepts("value", "".join(stack[0])) if len(stack) == 1 else frozenset()
 
 
 # --- Python -----------------------------------------------------------------------------------------------
@@ -620,7 +614,8 @@ _PY_TOKEN = re.compile(
     re.X | re.S,
 )
 _LEADING_ZERO = re.compile(r"0[\d_]*[1-9][\d_]*$")
-_PY_INNER = re.compile(f"{_P_IN}([^{_P_IN}{_P_OUT}]*){_P_OUT}")
+_P_AT, _P_BLOCKS = _PY["@"], _P_BLOCK + _P_CASES
+_P_ENDS = frozenset((_P_NL, _P_BLOCK, _P_CASES))
 _PY_RUN = re.compile(f"((?:{_P_NUMBER},){{2}})(?:{_P_NUMBER},)+|((?:{_P_STRING},){{2}})(?:{_P_STRING},)+".replace(",", _PY[","]))
 _PY_CLAUSES = {_PY[w] for w in ("elif", "else", "except", "finally")}
 _FIELD = re.compile(r"\{\{|\}\}|\{|\}")
@@ -679,7 +674,6 @@ def python_kinds(text: str) -> str | None:
     stack, depth, first, closers = [(0, 0)], 0, True, []
     scan = _PY_TOKEN.scanner(text)
     add = out.append
-    glued = False
     while m := scan.match():
         k = m.lastindex
         if k == 1:
@@ -690,7 +684,6 @@ def python_kinds(text: str) -> str | None:
         if k == 2 or k == 3:
             if k == 3 and m.end() >= len(text):
                 return None
-            glued = glued or k == 3 and first and m.start(3) > m.start()
             continue
         if k == 8:
             break
@@ -750,40 +743,22 @@ def python_kinds(text: str) -> str | None:
 
 
 def _statements(block: str) -> Iterator[str]:
-    """A block's statements: cut behind line ends and blocks, but not before a block, a clause of the same statement, or behind a decorator."""
-    start = 0
+    """A block's statements: cut behind line ends and blocks, but not before a block or a clause of the same statement, nor behind a decorator."""
+    start, at_line = 0, 0
     for k, c in enumerate(block):
-        if c not in (_P_NL, _P_BLOCK, _P_CASES):
+        if c not in _P_ENDS:
             continue
-        after = block[k + 1] if k + 1 < len(block) else ""
-        if after in (_P_BLOCK, _P_CASES) or after in _PY_CLAUSES and after:
+        after = block[k + 1 : k + 2]
+        decorator = block[at_line] == _P_AT
+        at_line = k + 1
+        if after and (after in _P_BLOCKS or after in _PY_CLAUSES or decorator):
             continue
-        if block[start] == _PY_OP["@"] and c == _P_NL and block.rfind(_P_NL, start, k) < 0 and after:
-            # a decorator goes with what it decorates
-            tail = block[start : k + 1]
-            if tail[0] == _PY_OP["@"] and after:
-                nxt = k + 1
-                if block[nxt] == _PY_OP["@"] or block[nxt] in (_PY_KIND["def"], _PY_KIND["class"], _PY_KIND["async"]):
-                    yield from ()
-                    decorated = _decorated(block, start)
-                    if decorated > k + 1:
-                        continue
         yield block[start : k + 1]
         start = k + 1
     if start < len(block):
         yield block[start:]
 
 
-def _decorated(block: str, start: int) -> int:
-    """Behind the lines of decorators that begin at `start`."""
-    at = start
-    while at < len(block) and block[at] == _PY_OP["@"]:
-        at = block.find(_P_NL, at) + 1
-        if at <= 0:
-            return len(block)
-    return at
-
-
 def python_module(text: str) -> frozenset[str]:
     """Innermost blocks are judged first, by statement, and then stand as one kind."""
     s = python_kinds(text)
@@ -793,8 +768,8 @@ def python_module(text: str) -> frozenset[str]:
 
     def judged(block: str) -> str:
         nonlocal out
-        parts = [_shorter(_PY_RUN, x) if len(x) < 25 else _PY_RUN.sub(lambda r: r[1] or r[2], x) for x in _statements(block)]
-        plain = out
+        parts = [_PY_RUN.sub(lambda r: r[1] or r[2], x) if len(x) > 24 else x for x in _statements(block)]
+        plain = cases = out
         for x in parts:
             plain = plain & PYTHON.accepts("line", x)
             if not plain:
@@ -802,20 +777,24 @@ def python_module(text: str) -> frozenset[str]:
         if plain:
             out = plain
             return _P_BLOCK
-        cases = out
         for x in parts:
             cases = cases & PYTHON.accepts("casesline", x)
         out = cases
         return _P_CASES
 
-    while out:
-        shorter = _PY_INNER.sub(lambda m: judged(m[1]) if out else _P_BLOCK, s)
-        if shorter == s:
-            break
-        s = shorter
-    if out and s and judged(s) == _P_CASES:
-        return frozenset()
-    return out
+    stack: list[list[str]] = [[]]
+    for c in s:
+        if c == _P_IN:
+            stack.append([])
+        elif c == _P_OUT:
+            kind = judged("".join(stack.pop()))
+            if not out:
+                return out
+            stack[-1].append(kind)
+        else:
+            stack[-1].append(c)
+    top = "".join(stack[0])
+    return frozenset() if top and judged(top) == _P_CASES else out
 
 
 #: The check of each language, by file type.

@@ -159,5 +159,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+def _runs_sql(rows: str) -> str:
+    """Tables s (id, run), the distinct runs of three words of texts of at least 20 words, and n (id, n)."""
+    return f"""w AS MATERIALIZED (SELECT id, list_transform(regexp_extract_all(any_value(content), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM ({rows}) WHERE content IS NOT NULL GROUP BY id),
+    s AS MATERIALIZED (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run FROM w WHERE len(w) >= 20),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id)"""
+
+
+_ALL = "SELECT record_id AS id, content, split_name FROM all_hybrid"
+_PAIRS_SQL = f"""WITH {_runs_sql(_ALL)}, p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+    SELECT a AS record_a, b AS record_b FROM p JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 10 * k >= 7 * (x.n + y.n - k)"""
+_OVERLAP_SQL = f"""WITH {_runs_sql(_ALL)}, e AS (SELECT DISTINCT record_id AS id FROM all_hybrid WHERE split_name IN ('test', 'val')), t AS (SELECT DISTINCT record_id AS id FROM all_hybrid WHERE split_name = 'train'),
+    p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM (SELECT * FROM s SEMI JOIN e USING (id)) AS a JOIN (SELECT * FROM s SEMI JOIN t USING (id)) AS b ON a.run = b.run AND a.id <> b.id GROUP BY 1, 2)
+    SELECT a, b FROM p JOIN n ON n.id = a WHERE 10 * k >= 8 * n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    lines = "list_max(list_transform(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), lambda x: length(x)))"
+    return {
+        "p1_found": _PAIRS_SQL,
+        "p1_groups": f"""WITH RECURSIVE pairs AS MATERIALIZED ({_PAIRS_SQL}), both_ways AS (SELECT record_a AS a, record_b AS b FROM pairs UNION ALL SELECT record_b, record_a FROM pairs),
+            reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach AS r JOIN both_ways AS e ON e.a = r.b),
+            words AS MATERIALIZED (SELECT record_id AS id, array_to_string(list_transform(regexp_extract_all(any_value(content), '[A-Za-z0-9_]+'), lambda x: lower(x)), ' ') AS w, len(regexp_extract_all(any_value(content), '[A-Za-z0-9_]+')) AS k FROM all_hybrid WHERE content IS NOT NULL GROUP BY 1),
+            links AS (SELECT x.w, count(DISTINCT y.w)::BIGINT AS n FROM both_ways JOIN words AS x ON x.id = a JOIN words AS y ON y.id = b WHERE x.w <> y.w GROUP BY 1)
+            SELECT id AS record_id, least(id, coalesce((SELECT min(b) FROM reach WHERE a = id), id)) AS group_id, coalesce(n, 0)::BIGINT AS n_links FROM words LEFT JOIN links USING (w) WHERE k >= 20""",
+        "p2_found": f"SELECT record_id, CASE WHEN {lines} > 6000 THEN 'inside_line' ELSE 'line_ends' END AS cut_kind FROM (SELECT record_id, any_value(content) AS content FROM all_hybrid GROUP BY 1) WHERE length(content) > 6000",
+        "p5_found": f"SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM ({_OVERLAP_SQL})",
+        "p5_counts": f"""WITH o AS ({_OVERLAP_SQL}), t AS (SELECT DISTINCT record_id, split_name, nullif(regexp_replace(lower(trim(repo)), '/+$', ''), '') AS repo, nullif(regexp_replace(lower(trim(filetype)), '^\\.', ''), '') AS filetype
+                FROM all_hybrid WHERE split_name IN ('test', 'val')), c AS (SELECT a AS record_id, count(*) AS n FROM o GROUP BY 1)
+            SELECT split_name, repo, filetype, count(*)::BIGINT AS n_records, count(n)::BIGINT AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs FROM t LEFT JOIN c USING (record_id) GROUP BY 1, 2, 3""",
+    }
