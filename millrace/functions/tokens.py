@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -82,13 +82,13 @@ def words(vocabulary: int = 32768) -> Tokenizer:
 def vocabulary_file(path: str, add_special: bool = False) -> Tokenizer:
     """A tokenizer plug-in for a `tokenizers` JSON file, in Arrow batches, loaded once a worker; needs the package `tokenizers`."""
 
-    @F.pandas_udf("array<bigint>")
-    def tokens(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def tokens(batches):
         from tokenizers import Tokenizer as File
 
         file = File.from_file(path)
         for s in batches:
             yield pd.Series([e.ids for e in file.encode_batch([x or "" for x in s], add_special_tokens=add_special)])
 
-    tokens.__annotations__ = {"batches": Iterable[pd.Series], "return": Iterable[pd.Series]}
-    return lambda text: tokens(text)
+    tokens.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    made = F.pandas_udf(tokens, "array<bigint>")
+    return lambda text: made(text)

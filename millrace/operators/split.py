@@ -26,21 +26,20 @@ def of_filetypes(df: DataFrame, types: tuple[str, ...] = FILETYPES, column: str
 
 
 def _ranked(df: DataFrame, group: str, seed: int, purpose: str, order: list[str]) -> DataFrame:
-    """Adds n, the size of the group, and rank, from 1, in the order of draws, ties by `order`.
+    """Adds _n, the size of the group, and _rank, from 1, in the order of draws, ties by `order`.
 
     The rank is found without sorting a group in one task: draws are cut into even slices, ranks counted by slice, and a
     slice's start is the sum of the slices before it; so a group of a third of all rows spreads over many tasks.
     """
-    drawn = df.withColumn("draw", uniform(seed, purpose, order[0]))
-    slices = F.floor(F.col("draw") * 4096)
-    drawn = drawn.withColumn("slice", slices)
-    before = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = drawn.groupBy(group, "slice").agg(F.count("*").alias("k"))
-    starts = counts.select(group, "slice", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy(group)).alias("n"))
-    inner = Window.partitionBy(group, "slice").orderBy("draw", *order)
-    same = drawn[group].eqNullSafe(starts[group]) & (drawn["slice"] == starts["slice"])
-    joined = drawn.join(starts, same).drop(starts[group]).drop(starts["slice"])
-    return joined.withColumn("rank", F.col("start") + F.row_number().over(inner)).drop("draw", "slice", "start", "k")
+    drawn = df.withColumn("_draw", uniform(seed, purpose, order[0])).withColumn("_slice", F.floor(F.col("_draw") * 4096))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = drawn.groupBy(group, "_slice").agg(F.count("*").alias("_k"))
+    starts = counts.select(
+        F.col(group).alias("_group"), F.col("_slice").alias("_place"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"), F.sum("_k").over(Window.partitionBy(group)).alias("_n")
+    )
+    inner = Window.partitionBy(group, "_slice").orderBy("_draw", *order)
+    joined = drawn.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_place")))
+    return joined.withColumn("_rank", F.col("_start") + F.row_number().over(inner)).drop("_draw", "_slice", "_start", "_k", "_group", "_place")
 
 
 def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set", check: bool = True) -> DataFrame:
@@ -52,10 +51,10 @@ def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test
     """
     rows = of_filetypes(df if set_name is None else of_set(df, set_name, set_column), filetypes)
     ranked = _ranked(rows, "filetype", seed, "split", [id_column])
-    tests = F.ceil(F.lit(float(test_size)) * F.col("n"))
+    tests = F.ceil(F.lit(float(test_size)) * F.col("_n"))
     places = F.create_map(*[x for t in dict.fromkeys(filetypes) for x in (F.lit(t), F.array(*[F.lit(k) for k, u in enumerate(filetypes) if u == t]))])
-    out = ranked.select("*", F.when(F.col("rank") <= tests, "test").otherwise("train").alias("split")).withColumn("part", F.explode(places[F.col("filetype")]))
-    out = out.withColumnRenamed("rank", "part_rank").drop("n")
+    out = ranked.select("*", F.when(F.col("_rank") <= tests, "test").otherwise("train").alias("split")).withColumn("part", F.explode(places[F.col("filetype")]))
+    out = out.withColumnRenamed("_rank", "part_rank").drop("_n")
     if check:
         sizes = out.groupBy("filetype").agg(F.count_if(F.col("split") == "train").alias("n")).collect()  # one row for each type asked for
         if not sizes:
@@ -69,20 +68,19 @@ def sft_split(df: DataFrame, id_column: str = "id", seed: int = 4371, train_size
     """Rows of the set with `split` ("train" or "val"): of each file type, null being one, the first max(1, floor(train_size * n)) by draw."""
     rows = df if set_name is None else of_set(df, set_name, set_column)
     ranked = _ranked(rows, "filetype", seed, "sft", [id_column])
-    return ranked.withColumn("split", F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(train_size)) * F.col("n"))), "train").otherwise("val")).drop("n", "rank")
+    return ranked.withColumn("split", F.when(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(train_size)) * F.col("_n"))), "train").otherwise("val")).drop("_n", "_rank")
 
 
 def shuffled(df: DataFrame, id_column: str = "id", seed: int = 4371, group: str | None = None) -> DataFrame:
     """`df` with `ord`, the place of each row in a random order, from 0; within each value of `group` if given."""
     draw: Column = uniform(seed, "shuffle", id_column)
-    drawn = df.withColumn("draw", draw)
-    keys = ["draw", id_column]
-    out = with_ordinals(drawn, [group, *keys] if group else keys).drop("part", "draw")
+    drawn = df.withColumn("_draw", draw)
+    keys = ["_draw", id_column]
+    out = with_ordinals(drawn, [group, *keys] if group else keys).drop("part", "_draw")
     if not group:
         return out
-    first = out.groupBy(group).agg(F.min("ord").alias("first"))
-    same = out[group].eqNullSafe(first[group])
-    return out.join(first, same).drop(first[group]).withColumn("ord", F.col("ord") - F.col("first")).drop("first")
+    first = out.groupBy(F.col(group).alias("_group")).agg(F.min("ord").alias("_first"))
+    return out.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("ord", F.col("ord") - F.col("_first")).drop("_first", "_group")
 
 
 def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
