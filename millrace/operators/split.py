@@ -43,18 +43,18 @@ def _ranked(df: DataFrame, group: str, seed: int, purpose: str, order: list[str]
 
 
 def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set", check: bool = True) -> DataFrame:
-    """Rows of the set and types with `split` ("train" or "test"), `part` (place of the type in `filetypes`) and `part_rank`.
+    """Rows of the set and types with `split` ("train" or "test"), `place` (of the type in `filetypes`) and `place_rank`.
 
     Each type gives ceil(test_size * n) test rows, drawn by seed and id; absent types are skipped. A type named twice has its rows twice.
-    Train and test are each in the order of part and part_rank. If `check`, a type of so few rows that it has none for
+    Train and test are each in the order of place and place_rank. If `check`, a type of so few rows that it has none for
     training raises ValueError, and so does a result without rows.
     """
     rows = of_filetypes(df if set_name is None else of_set(df, set_name, set_column), filetypes)
     ranked = _ranked(rows, "filetype", seed, "split", [id_column])
     tests = F.ceil(F.lit(float(test_size)) * F.col("_n"))
     places = F.create_map(*[x for t in dict.fromkeys(filetypes) for x in (F.lit(t), F.array(*[F.lit(k) for k, u in enumerate(filetypes) if u == t]))])
-    out = ranked.select("*", F.when(F.col("_rank") <= tests, "test").otherwise("train").alias("split")).withColumn("part", F.explode(places[F.col("filetype")]))
-    out = out.withColumnRenamed("_rank", "part_rank").drop("_n")
+    out = ranked.select("*", F.when(F.col("_rank") <= tests, "test").otherwise("train").alias("split")).withColumn("place", F.explode(places[F.col("filetype")]))
+    out = out.withColumnRenamed("_rank", "place_rank").drop("_n")
     if check:
         sizes = out.groupBy("filetype").agg(F.count_if(F.col("split") == "train").alias("n")).collect()  # one row for each type asked for
         if not sizes:

@@ -65,7 +65,7 @@ def pretrain_corpus(corpus: DataFrame, seq_length: int = 4096, sequences: int =
     permuted and overlap, evaluation examples are neither.
     """
     split = cut(split_by_filetype(corpus, seed=seed, test_size=test_size), "split")
-    train, test = (with_ordinals(split.where(F.col("split") == s), ["part", "part_rank"]) for s in ("train", "test"))
+    train, test = (with_ordinals(split.where(F.col("split") == s), ["place", "place_rank"]) for s in ("train", "test"))
     first = train.orderBy("ord").limit(sample).select("content", tokenizer(F.col("content")).alias("tokens"))
     ratio = chars_token_ratio(first).first()["ratio"]
     how = Packer(seq_length, sequences, ratio, fim_rate=fim_rate, fim_spm_rate=fim_spm_rate, seed=seed, overlap_ratio=overlap, special=special, tokenizer=tokenizer)

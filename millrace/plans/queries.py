@@ -99,7 +99,7 @@ def split_absent_type(spark, d):
 def union_parts(spark, d):
     """Train and test, each the parts of its file types in order, one behind the other."""
     both = split.split_by_filetype(corpus(spark, d))
-    train, test = (with_ordinals(both.where(F.col("split") == s).select("id", "filetype", F.col("part").cast("bigint").alias("place"), "part_rank", "split"), ["place", "part_rank"]) for s in ("train", "test"))
+    train, test = (with_ordinals(both.where(F.col("split") == s).select("id", "filetype", F.col("place").cast("bigint").alias("place"), "place_rank", "split"), ["place", "place_rank"]) for s in ("train", "test"))
     return train.unionByName(test).select("id", "filetype", F.col("place").alias("part"), "ord", "split")
 
 

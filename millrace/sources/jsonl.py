@@ -36,18 +36,20 @@ def with_ordinals(df: DataFrame, keys: list[str | Column], name: str = "ord") ->
     """`df` with the place of each row, from 0, in the order of `keys` (nulls first); rows equal in all keys come in any order.
 
     Range-partitioned and written once; only one count for each partition reaches the driver. Also adds `part`, the partition.
+    Columns of these two names are replaced.
     """
-    spark, at = df.sparkSession, f"{name}_at"
-    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright(at, 33)
-    counts = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
+    spark = df.sparkSession
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy(part.alias("_part")).count().collect())
     start, rows = 0, []
     for p, n in counts:
         rows.append((p, start))
         start += n
-    starts = spark.createDataFrame(rows, "part bigint, part_start bigint")
-    numbered = placed.withColumn("part", part).join(F.broadcast(starts), "part")  # one row for each partition
-    return numbered.withColumn(name, F.col("part_start") + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, "part_start")
+    starts = spark.createDataFrame(rows, "_part bigint, _start bigint")
+    numbered = placed.drop(name, "part").withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row for each partition
+    out = numbered.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).withColumnRenamed("_part", "part").drop("_at", "_start")
+    return out.select(*[c for c in df.columns if c not in (name, "part")], "part", name)
 
 
 def replayed(df: DataFrame, epochs: int, order: str = "ord", replicas: int = 1) -> DataFrame:
