@@ -156,19 +156,20 @@ def packed(documents: DataFrame, how: Packing = Packing()) -> DataFrame:
         items: list[int] = []
         sizes: list[int] = []
 
-        def flush():
-            packer.run(items, sizes)
+        def flush(n: int) -> pa.RecordBatch:
+            packer.run(items[:n], sizes[:n])
             columns = np.array(packer.rows, np.int64).reshape(-1, 5)
-            items.clear(), sizes.clear(), packer.rows.clear()
+            del items[:n], sizes[:n]
+            packer.rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1].astype(np.int32)), *(pa.array(columns[:, k]) for k in (2, 3, 4))], ["id", "piece", "piece_tokens", "container_id", "start_token"])
 
         for b in it:
             items += b.column(0).to_pylist()
             sizes += b.column(1).to_pylist()
-            if len(items) >= how.run:
-                yield flush()
+            while len(items) >= how.run:
+                yield flush(how.run)
         if items:
-            yield flush()
+            yield flush(len(items))
 
     keys = points.mapInArrow(keyed, "id bigint, n_tokens bigint, key bigint").withColumn("tie", F.xxhash64("id"))
     ordered = keys.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
