@@ -17,6 +17,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ PLACE_BYTES = 2
 class Digest:
     """positions: places of a digest. together: places that one list of the index takes. threshold: least similarity of
     a pair. run_words: words of a run. least_words: texts with fewer words are in no pair. missed: chance that the
-    tally drops a pair of just that similarity."""
+    tally drops a pair of just that similarity. long_list: texts beyond which a list is tallied in blocks of about `block`
+    texts instead of by a row for each pair; both ways find the same pairs."""
 
     positions: int = 72
     together: int = 3
@@ -40,6 +42,8 @@ class Digest:
     run_words: int = 5
     least_words: int = 20
     missed: float = 1e-6
+    long_list: int = 500
+    block: int = 1000
 
     @property
     def lists(self) -> int:
@@ -92,22 +96,62 @@ def digests(records: DataFrame, how: Digest) -> DataFrame:
     return records.select("id", "content").where(F.col("content").isNotNull()).mapInArrow(batches, "id bigint, print bigint, digest binary")
 
 
-def candidates(classes: DataFrame, how: Digest) -> DataFrame:
-    """Pairs (a, b), a < b, of the rows (rep, digest) that share a list and at least the guaranteed minimum of places."""
-    width = how.together * PLACE_BYTES
-    listed = classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {how.lists - 1}), k -> xxhash64(k, substring(digest, k * {width} + 1, {width})))")).alias("key"))
-    left, right = listed.withColumnRenamed("rep", "a"), listed.withColumnRenamed("rep", "b")
-    met = left.join(right, "key").where("a < b").select("a", "b").distinct()
+def _tallied(pairs: DataFrame, classes: DataFrame, how: Digest) -> DataFrame:
+    """The pairs (a, b) with at least the guaranteed minimum of shared places."""
     same = f"""aggregate(sequence(0, {how.positions - 1}), 0, (n, k) -> n + if(
         substring(digest_a, k * {PLACE_BYTES} + 1, {PLACE_BYTES}) = substring(digest_b, k * {PLACE_BYTES} + 1, {PLACE_BYTES}), 1, 0))"""
     return (
-        met.join(classes.select(F.col("rep").alias("a"), F.col("digest").alias("digest_a")), "a")
+        pairs.join(classes.select(F.col("rep").alias("a"), F.col("digest").alias("digest_a")), "a")
         .join(classes.select(F.col("rep").alias("b"), F.col("digest").alias("digest_b")), "b")
         .where(F.expr(same) >= how.minimum)
         .select("a", "b")
     )
 
 
+def _tallied_blocks(rows: DataFrame, how: Digest) -> DataFrame:
+    """The same for rows (key, n, rep, digest) of long lists, without a row for each pair that meets.
+
+    A list of n texts is cut by hashed ids into blocks; a task takes two blocks (or one with itself), tallies all their pairs in memory
+    and returns those over the minimum. So a list of any length spreads over tasks that each hold at most about 2 * `block` digests.
+    """
+    blocks = F.ceil(F.col("n") / how.block).cast("int")
+    own = rows.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "digest")
+
+    def tally(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        reps, own = pdf["rep"].to_numpy(), pdf["own"].to_numpy()
+        places = np.frombuffer(b"".join(pdf["digest"]), np.uint16).reshape(len(pdf), how.positions)
+        left, right = (np.flatnonzero(own == k) for k in (i, j))
+        out: list[np.ndarray] = []
+        for start in range(0, len(left), 64):
+            part = left[start : start + 64]
+            n = np.zeros((len(part), len(right)), np.uint8)
+            for k in range(how.positions):
+                n += places[part, k][:, None] == places[right, k][None, :]
+            x, y = np.nonzero(n >= how.minimum)
+            out.append(np.column_stack((reps[part[x]], reps[right[y]])))
+        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        a, b = found.min(1, initial=2**63 - 1), found.max(1, initial=-(2**63))
+        keep = a < b
+        return pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates()
+
+    return met.groupBy("key", "i", "j").applyInPandas(tally, "a bigint, b bigint")
+
+
+def candidates(classes: DataFrame, how: Digest) -> DataFrame:
+    """Pairs (a, b), a < b, of the rows (rep, digest) that share a list and at least the guaranteed minimum of places."""
+    width = how.together * PLACE_BYTES
+    listed = classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {how.lists - 1}), k -> xxhash64(k, substring(digest, k * {width} + 1, {width})))")).alias("key"))
+    lengths = cut(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    short = listed.join(lengths.where(F.col("n") <= how.long_list).select("key"), "key")
+    left, right = short.withColumnRenamed("rep", "a"), short.withColumnRenamed("rep", "b")
+    met = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    long = listed.join(lengths.where(F.col("n") > how.long_list), "key").join(classes.select("rep", "digest"), "rep")
+    return _tallied(met, classes, how).union(_tallied_blocks(long, how)).distinct()
+
+
 @dataclass
 class NearCopies:
     """members: (id, rep), one row for each id, `rep` being the least id with the same word sequence.

@@ -4,7 +4,8 @@ The word runs of the evaluation records are hashed. A training record that holds
 runs of an evaluation record also holds some of any floor((1 - share) * n) + 1 of them, so only that many, the rarest
 among the evaluation records, are indexed, plus `spare` more, and a pair must then hit spare + 1 of them. The
 scan of the training records passes only the runs whose bit is set in a bitmap of fixed size, and hits are
-joined with the index by hash, partitioned on both sides. Pairs with enough hits are compared exactly.
+joined with the index by hash, partitioned on both sides. Pairs with enough hits are compared exactly. Texts with equal word
+sequences make one class on either side, which takes part once; classes become ids again at the end.
 """
 
 from __future__ import annotations
@@ -38,9 +39,12 @@ class Containment:
 
 
 def _runs(records: DataFrame, how: Containment, bits: object = None) -> DataFrame:
-    """(id, n, runs): distinct run hashes of each text with enough words, where `bits` is given only those in the bitmap."""
+    """(id, print, n, runs): distinct run hashes of each text with enough words, where `bits` is given only those in the bitmap.
+
+    Texts of equal word sequences have equal `print`; texts without a run left give no row.
+    """
     least = max(how.least_words, how.run_words)
-    kind = "id bigint, n int, runs array<bigint>"
+    kind = "id bigint, print bigint, n int, runs array<bigint>"
 
     def batches(it):
         mask = None if bits is None else np.frombuffer(bits.value, np.uint8)
@@ -61,11 +65,18 @@ def _runs(records: DataFrame, how: Containment, bits: object = None) -> DataFram
                 size = np.diff(f)[rows]
                 lists = pa.ListArray.from_arrays(np.concatenate((np.zeros(1, np.int64), np.cumsum(size))).astype(np.int32), pa.array(u.view(np.int64)))
                 ids = b.column(0).slice(r, e - r).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int32)), lists], ["id", "n", "runs"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(S.text_prints(w)[rows]), pa.array(size.astype(np.int32)), lists], ["id", "print", "n", "runs"])
 
     return records.select("id", "content").where(F.col("content").isNotNull()).mapInArrow(batches, kind)
 
 
+def _classes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, runs), one row for each class of texts with equal word sequences, and the members (rep, id)."""
+    classes = runs.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("runs").alias("runs"))
+    members = runs.select("print", "id").distinct().join(classes.select("print", "rep"), "print").select("rep", "id")
+    return classes.drop("print"), members
+
+
 def _bitmap(index: DataFrame) -> bytes:
     """The bitmap over the hashes `run` of `index`: made in blocks by the executors, then put together (8 MB)."""
 
@@ -93,34 +104,29 @@ def overlaps(evaluation: DataFrame, training: DataFrame, how: Containment = Cont
     Null, empty and short texts are in no pair. An id may be on both sides; it is not paired with itself.
     """
     spark = evaluation.sparkSession
-    runs = cut(_runs(evaluation, how), "runs")
-    single = runs.select("id", F.explode("runs").alias("run"))
+    own, own_members = _classes(cut(_runs(evaluation, how), "runs"))
+    own = cut(own, "classes")
+    single = own.select(F.col("rep").alias("a"), "n", F.explode("runs").alias("run"))
     common = single.groupBy("run").agg(F.count("*").alias("df"))
-    sizes = runs.groupBy("id").agg(F.first("n").alias("n"))
     ranked = (
-        single.distinct()
-        .join(common, "run")
-        .join(sizes, "id")
+        single.join(common, "run")
         .withColumn("needed", F.greatest(F.lit(1), F.ceil(F.col("n") * how.spare)).cast("int"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "run")))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("df", "run")))
     )
     least = round(how.share * 10_000)
     # a pair holds at least ceil(share * n) of the n runs, so it misses at most the rest of any choice of them
     chosen = ranked.where(F.expr(f"rank <= n - ceil(n * {least} / 10000) + needed"))
-    index = cut(chosen.select("run", F.col("id").alias("eval_id"), "needed"), "index")
+    index = cut(chosen.select("run", "a", "needed"), "index")
     bits = spark.sparkContext.broadcast(_bitmap(index))
-    hits = _runs(training, how, bits).select(F.col("id").alias("train_id"), F.explode("runs").alias("run")).distinct()
-    pairs = (
-        hits.join(index, "run")
-        .where("eval_id <> train_id")
-        .groupBy("eval_id", "train_id")
-        .agg(F.count("*").alias("hits"), F.first("needed").alias("needed"))
-        .where("hits >= needed")
-        .select(F.col("eval_id").alias("a"), F.col("train_id").alias("b"))
-    )
+    others, other_members = _classes(cut(_runs(training, how, bits), "hits"))
+    hits = others.select(F.col("rep").alias("b"), F.explode("runs").alias("run"))
+    pairs = hits.join(index, "run").groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("a", "b")
     texts = evaluation.select("id", "content").unionByName(training.select("id", "content"))
+    found = common_runs(cut(pairs, "candidates"), texts, how.run_words).where(F.col("n_common") * 10_000 >= F.col("n_a") * least)
     return (
-        common_runs(cut(pairs, "candidates"), texts, how.run_words)
-        .where(F.col("n_common") * 10_000 >= F.col("n_a") * least)
-        .select(F.col("a").alias("eval_id"), F.col("b").alias("train_id"), "n_common", F.col("n_a").alias("n_eval"))
+        cut(found, "links")
+        .join(own_members.select(F.col("rep").alias("a"), F.col("id").alias("eval_id")), "a")
+        .join(other_members.select(F.col("rep").alias("b"), F.col("id").alias("train_id")), "b")
+        .where("eval_id <> train_id")
+        .select("eval_id", "train_id", "n_common", F.col("n_a").alias("n_eval"))
     )

@@ -93,6 +93,13 @@ def test_near_copies_against_all_pairs(spark):
     assert found.members.count() == len(sets) and {r["rep"] for r in found.members.collect() if r["id"] < 8} == {0}
 
 
+def test_long_lists_in_blocks_find_the_same(spark):
+    rows = corpus(11)
+    plain, blocks = (near_copies(frame(spark, rows), Digest(threshold=0.7, run_words=3, long_list=n, block=3)) for n in (10**6, 1))
+    want = {tuple(r) for r in plain.links.collect()}
+    assert {tuple(r) for r in blocks.links.collect()} == want and want
+
+
 def test_a_chain_of_links_is_one_group(spark):
     words = [f"c{k}" for k in range(260)]
     rows = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(90)]
