@@ -1,4 +1,4 @@
-"""Filters and exact-size stratified splits, in one pass over the rows."""
+"""Filters and exact-size stratified splits, without a shuffle of whole rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.draws import uniform
+from millrace.shared import BROADCAST_BYTES, cut
 from millrace.sources.jsonl import require_columns, with_ordinals
 
 #: File types of the unsupervised path, in the order of its parts.
@@ -25,50 +26,66 @@ def of_filetypes(df: DataFrame, types: tuple[str, ...] = FILETYPES, column: str
     return require_columns(df, [column]).where(F.col(column).isin(*types))
 
 
-def _ranked(df: DataFrame, group: str, seed: int, purpose: str, order: list[str]) -> DataFrame:
-    """Adds _n, the size of the group, and _rank, from 1, in the order of draws, ties by `order`.
+def _cut_by_draw(df: DataFrame, group: str, id_column: str, seed: int, purpose: str, first: Column) -> tuple[DataFrame, DataFrame]:
+    """`df` with `split_draw` and `_first`, whether a row is among the first k of its group by draw; and the groups (_group, _n, _k).
 
-    The rank is found without sorting a group in one task: draws are cut into even slices, ranks counted by slice, and a
-    slice's start is the sum of the slices before it; so a group of a third of all rows spreads over many tasks.
+    `first` is k as an expression of `_n`, the size of the group. Only draws are shuffled, never whole rows: the k-th draw of each
+    group is found from counts of 4096 even slices and then from the one slice that holds it, so a group of a third of all
+    rows costs no task more than others. Rows with equal draws (repeated ids) are told apart by the order of all their columns' hash.
     """
-    drawn = df.withColumn("_draw", uniform(seed, purpose, order[0])).withColumn("_slice", F.floor(F.col("_draw") * 4096))
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = drawn.groupBy(group, "_slice").agg(F.count("*").alias("_k"))
-    starts = counts.select(
-        F.col(group).alias("_group"), F.col("_slice").alias("_place"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"), F.sum("_k").over(Window.partitionBy(group)).alias("_n")
-    )
-    inner = Window.partitionBy(group, "_slice").orderBy("_draw", *order)
-    joined = drawn.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_place")))
-    return joined.withColumn("_rank", F.col("_start") + F.row_number().over(inner)).drop("_draw", "_slice", "_start", "_k", "_group", "_place")
-
-
-def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set", check: bool = True) -> DataFrame:
-    """Rows of the set and types with `split` ("train" or "test"), `place` (of the type in `filetypes`) and `place_rank`.
+    spark = df.sparkSession
+    drawn = df.withColumn("split_draw", uniform(seed, purpose, id_column))
+    slice_of = F.floor(F.col("split_draw") * 4096)
+    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = cut(drawn.groupBy(F.col(group).alias("_group"), slice_of.alias("_slice")).agg(F.count("*").alias("_c")), "slices")
+    upto = slices.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy("_group"))).withColumn("_k", first.cast("bigint"))
+    groups = cut(upto.groupBy("_group").agg(F.first("_n").alias("_n"), F.first("_k").alias("_k")), "groups")
+    edge = _small(cut(upto.where("_start < _k AND _k <= _start + _c").select("_group", "_slice", "_start", "_k"), "edge"))
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    within = drawn.select(group, "split_draw").withColumn("_place", slice_of).join(edge, same & (F.col("_place") == F.col("_slice")))
+    each = within.groupBy("_group", "split_draw", "_start", "_k").agg(F.count("*").alias("_tied"))
+    under = F.col("_start") + F.coalesce(F.sum("_tied").over(Window.partitionBy("_group").orderBy("split_draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = each.withColumn("_under", under).where("_under < _k AND _k <= _under + _tied")
+    last = cut(last.select("_group", F.col("split_draw").alias("_last"), (F.col("_k") - F.col("_under")).alias("_take"), "_tied"), "last")
+    halves = not last.where("_take < _tied").isEmpty()
+    last = _small(last)
+    joined = drawn.join(last, same, "left").withColumn("_first", F.coalesce(F.col("split_draw") <= F.col("_last"), F.lit(False)))
+    done = joined
+    if halves:  # a few rows with the very draw at which a group is cut
+        on_edge = F.coalesce((F.col("split_draw") == F.col("_last")) & (F.col("_take") < F.col("_tied")), F.lit(False))
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.to_json(F.struct(*df.columns)))))
+        done = joined.where(~on_edge).unionByName(joined.where(on_edge).withColumn("_first", rank <= F.col("_take")))
+    return done.drop("_group", "_last", "_take", "_tied"), groups
+
+
+def _small(written: DataFrame) -> DataFrame:
+    """A written table of groups, with a hint to broadcast it where its rows, at up to 200 bytes, are under the bound."""
+    return F.broadcast(written) if written.count() * 200 <= BROADCAST_BYTES else written
+
+
+def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set") -> DataFrame:
+    """Rows of the set and types with `split` ("train" or "test"), `place` (of the type in `filetypes`) and `split_draw`.
 
     Each type gives ceil(test_size * n) test rows, drawn by seed and id; absent types are skipped. A type named twice has its rows twice.
-    Train and test are each in the order of place and place_rank. If `check`, a type of so few rows that it has none for
-    training raises ValueError, and so does a result without rows.
+    Train and test are each in the order of place, split_draw and id. A type of so few rows that it has none for training
+    raises ValueError, and so does a result without rows.
     """
     rows = of_filetypes(df if set_name is None else of_set(df, set_name, set_column), filetypes)
-    ranked = _ranked(rows, "filetype", seed, "split", [id_column])
-    tests = F.ceil(F.lit(float(test_size)) * F.col("_n"))
+    out, groups = _cut_by_draw(rows, "filetype", id_column, seed, "split", F.ceil(F.lit(float(test_size)) * F.col("_n")))
+    sizes = groups.collect()  # one row for each type asked for
+    if not sizes:
+        raise ValueError("no rows of the set and file types")
+    if any(r["_k"] >= r["_n"] for r in sizes):
+        raise ValueError("a file type has no rows left for training")
     places = F.create_map(*[x for t in dict.fromkeys(filetypes) for x in (F.lit(t), F.array(*[F.lit(k) for k, u in enumerate(filetypes) if u == t]))])
-    out = ranked.select("*", F.when(F.col("_rank") <= tests, "test").otherwise("train").alias("split")).withColumn("place", F.explode(places[F.col("filetype")]))
-    out = out.withColumnRenamed("_rank", "place_rank").drop("_n")
-    if check:
-        sizes = out.groupBy("filetype").agg(F.count_if(F.col("split") == "train").alias("n")).collect()  # one row for each type asked for
-        if not sizes:
-            raise ValueError("no rows of the set and file types")
-        if any(r["n"] == 0 for r in sizes):
-            raise ValueError("a file type has no rows left for training")
-    return out
+    return out.withColumn("split", F.when(F.col("_first"), "test").otherwise("train")).withColumn("place", F.explode(places[F.col("filetype")])).drop("_first")
 
 
 def sft_split(df: DataFrame, id_column: str = "id", seed: int = 4371, train_size: float = 0.95, set_name: str | None = "supervised", set_column: str = "set") -> DataFrame:
     """Rows of the set with `split` ("train" or "val"): of each file type, null being one, the first max(1, floor(train_size * n)) by draw."""
     rows = df if set_name is None else of_set(df, set_name, set_column)
-    ranked = _ranked(rows, "filetype", seed, "sft", [id_column])
-    return ranked.withColumn("split", F.when(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(train_size)) * F.col("_n"))), "train").otherwise("val")).drop("_n", "_rank")
+    out, _ = _cut_by_draw(rows, "filetype", id_column, seed, "sft", F.greatest(F.lit(1), F.floor(F.lit(float(train_size)) * F.col("_n"))))
+    return out.withColumn("split", F.when(F.col("_first"), "train").otherwise("val")).drop("_first", "split_draw")
 
 
 def shuffled(df: DataFrame, id_column: str = "id", seed: int = 4371, group: str | None = None) -> DataFrame:

@@ -64,8 +64,10 @@ def pretrain_corpus(corpus: DataFrame, seq_length: int = 4096, sequences: int =
     Split by file type; characters per token from the first `sample` training rows set the budget of a buffer; training examples are
     permuted and overlap, evaluation examples are neither.
     """
-    split = cut(split_by_filetype(corpus, seed=seed, test_size=test_size), "split")
-    train, test = (with_ordinals(split.where(F.col("split") == s), ["place", "place_rank"]) for s in ("train", "test"))
+    split = split_by_filetype(corpus, seed=seed, test_size=test_size).select("id", "content", "split", "place", "split_draw")
+    both = with_ordinals(split, ["split", "place", "split_draw", "id"])
+    starts = {r["split"]: r["first"] for r in both.groupBy("split").agg(F.min("ord").alias("first")).collect()}
+    train, test = (both.where(F.col("split") == s).withColumn("ord", F.col("ord") - starts.get(s, 0)) for s in ("train", "test"))
     first = train.orderBy("ord").limit(sample).select("content", tokenizer(F.col("content")).alias("tokens"))
     ratio = chars_token_ratio(first).first()["ratio"]
     how = Packer(seq_length, sequences, ratio, fim_rate=fim_rate, fim_spm_rate=fim_spm_rate, seed=seed, overlap_ratio=overlap, special=special, tokenizer=tokenizer)

@@ -98,8 +98,8 @@ def split_absent_type(spark, d):
 @query("SELECT id, filetype, part, row_number() OVER (PARTITION BY split ORDER BY part, rank) - 1 AS ord, split FROM (" + _split_sql("'cry', 'saw', 'txt'", "id, filetype, rank, CASE filetype WHEN 'cry' THEN 0 WHEN 'saw' THEN 1 ELSE 2 END::BIGINT AS part") + ")")
 def union_parts(spark, d):
     """Train and test, each the parts of its file types in order, one behind the other."""
-    both = split.split_by_filetype(corpus(spark, d))
-    train, test = (with_ordinals(both.where(F.col("split") == s).select("id", "filetype", F.col("place").cast("bigint").alias("place"), "place_rank", "split"), ["place", "place_rank"]) for s in ("train", "test"))
+    both = split.split_by_filetype(corpus(spark, d)).select("id", "filetype", "split", F.col("place").cast("bigint"), "split_draw")
+    train, test = (with_ordinals(both.where(F.col("split") == s), ["place", "split_draw", "id"]) for s in ("train", "test"))
     return train.unionByName(test).select("id", "filetype", F.col("place").alias("part"), "ord", "split")
 
 

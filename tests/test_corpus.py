@@ -36,13 +36,18 @@ def test_split_sizes(spark):
     assert sizes(out) == {("cry", "test"): 9, ("cry", "train"): 74, ("saw", "test"): 2, ("saw", "train"): 9, ("txt", "test"): 1, ("txt", "train"): 9}
     assert set(df.columns) < set(out.columns) and out.select("n").distinct().collect()[0][0] == 1
     again = split_by_filetype(df.repartition(9)).collect()
-    assert {(r["id"], r["split"], r["place_rank"]) for r in again} == {(r["id"], r["split"], r["place_rank"]) for r in out.collect()}
-    assert sorted(r["place_rank"] for r in again if r["filetype"] == "cry") == list(range(1, 84))
+    assert {(r["id"], r["split"], r["split_draw"]) for r in again} == {(r["id"], r["split"], r["split_draw"]) for r in out.collect()}
     assert {(r["id"]) for r in split_by_filetype(df, seed=1).where("split = 'test'").collect()} != {r["id"] for r in again if r["split"] == "test"}
     twice = split_by_filetype(df, filetypes=("cry", "absent", "cry"))
     assert twice.count() == 166 and {r["place"] for r in twice.collect()} == {0, 2}
 
 
+def test_repeated_rows_are_split_to_exact_sizes(spark):
+    df = rows(spark, {"cry": 3, "saw": 7}).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    got = sizes(split_by_filetype(df.drop("again")))
+    assert got == {("cry", "test"): 3, ("cry", "train"): 24, ("saw", "test"): 7, ("saw", "train"): 56}
+
+
 def test_split_guards(spark):
     with pytest.raises(ValueError):
         split_by_filetype(rows(spark, {"py": 4}))
