@@ -8,6 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from millrace.shared import cut, small
+
+
+#: Buffers that begin in one part, beyond which rows find theirs by a join on their place.
+FEW_BOUNDS = 1000
 
 
 def budget(seq_length: int, chars_per_token: float, sequences: int) -> float:
@@ -37,8 +44,8 @@ def assign_buffers(df: DataFrame, most: float, units: str, order: str = "ord", p
 
     `df` must be partitioned in order by `part`, as `with_ordinals` gives it. The reset makes this a sequential fold, so
     each part is first reduced, in parallel, to a step function from the units already open when it begins to those open when it
-    ends; the driver takes one part's steps at a time, and then the parts number their rows in parallel. Only units, not
-    texts, take part.
+    ends; the driver takes one part's steps at a time, and then the parts find their first rows of buffers in parallel. Only units
+    are shuffled, not texts: a row reads its buffer off the few bounds of its part.
     """
     if most <= 0:
         raise ValueError("the budget of a buffer must be positive")
@@ -69,17 +76,26 @@ def assign_buffers(df: DataFrame, most: float, units: str, order: str = "ord", p
             fill, number = r["left"][k], number + r["closed"][k]
     begun = spark.createDataFrame(entries, "part bigint, fill double, number bigint")
 
-    def numbers(pdf: pd.DataFrame) -> pd.DataFrame:
+    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         total = np.concatenate((np.zeros(1), np.cumsum(pdf["units"].to_numpy())))
-        n, fill = len(pdf), pdf["fill"].iloc[0]
-        following, _, _ = _chain(total, most)
-        mark = np.zeros(n + 2, np.int64)
+        n, fill, places = len(pdf), pdf["fill"].iloc[0], pdf[order].to_numpy()
+        first = []
         j = int(np.searchsorted(total, most - fill, "left")) if fill + total[-1] >= most else n + 1
-        while j <= n:
-            mark[j] += 1
+        following, _, _ = _chain(total, most)
+        while j < n:
+            first.append(int(places[j]))
             j = int(following[j])
-        return pd.DataFrame({order: pdf[order], "buf": pdf["number"].iloc[0] + np.cumsum(mark)[:n]})
+        return pd.DataFrame({part: [pdf[part].iloc[0]], "_number": [pdf["number"].iloc[0]], "_bounds": [first]})
 
-    numbered = sizes.join(begun, part).groupBy(part).applyInPandas(numbers, f"{order} bigint, buf bigint")
+    starts = cut(sizes.join(begun, part).groupBy(part).applyInPandas(bounds, f"{part} bigint, _number bigint, _bounds array<bigint>"), "bounds")
+    at = F.col(order)
+    if (starts.agg(F.max(F.size("_bounds"))).first()[0] or 0) <= FEW_BOUNDS:
+        return df.join(small(starts, "_bounds"), part).withColumn("buf", F.col("_number") + F.size(F.filter("_bounds", lambda b: b <= at))).drop("_number", "_bounds")
+    # a budget of few rows: as many buffers as rows, so rows find theirs by joining on their place
+    pairs = starts.withColumn("_b", F.arrays_zip("_bounds", F.expr("transform(_bounds, (x, i) -> _number + i + 1)").alias("_buf"))).select(part, "_number", F.explode_outer("_b").alias("_b"))
+    firsts = pairs.select(part, "_number", F.col("_b")["_bounds"].alias("_at"), F.col("_b")["_buf"].alias("_buf"))
+    marked = df.select(part, order).join(firsts.select(part, F.col("_at").alias(order), "_buf").where(F.col(order).isNotNull()), [part, order], "left").join(firsts.select(part, "_number").distinct(), part)
+    run = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.select(order, F.coalesce(F.last("_buf", ignorenulls=True).over(run), "_number").alias("buf"))
     return df.join(numbered, order)

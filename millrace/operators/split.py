@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.draws import uniform
-from millrace.shared import BROADCAST_BYTES, cut
+from millrace.shared import cut, small
 from millrace.sources.jsonl import require_columns, with_ordinals
 
 #: File types of the unsupervised path, in the order of its parts.
@@ -40,7 +40,7 @@ def _cut_by_draw(df: DataFrame, group: str, id_column: str, seed: int, purpose:
     slices = cut(drawn.groupBy(F.col(group).alias("_group"), slice_of.alias("_slice")).agg(F.count("*").alias("_c")), "slices")
     upto = slices.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy("_group"))).withColumn("_k", first.cast("bigint"))
     groups = cut(upto.groupBy("_group").agg(F.first("_n").alias("_n"), F.first("_k").alias("_k")), "groups")
-    edge = _small(cut(upto.where("_start < _k AND _k <= _start + _c").select("_group", "_slice", "_start", "_k"), "edge"))
+    edge = small(cut(upto.where("_start < _k AND _k <= _start + _c").select("_group", "_slice", "_start", "_k"), "edge"))
     same = F.col(group).eqNullSafe(F.col("_group"))
     within = drawn.select(group, "split_draw").withColumn("_place", slice_of).join(edge, same & (F.col("_place") == F.col("_slice")))
     each = within.groupBy("_group", "split_draw", "_start", "_k").agg(F.count("*").alias("_tied"))
@@ -48,7 +48,7 @@ def _cut_by_draw(df: DataFrame, group: str, id_column: str, seed: int, purpose:
     last = each.withColumn("_under", under).where("_under < _k AND _k <= _under + _tied")
     last = cut(last.select("_group", F.col("split_draw").alias("_last"), (F.col("_k") - F.col("_under")).alias("_take"), "_tied"), "last")
     halves = not last.where("_take < _tied").isEmpty()
-    last = _small(last)
+    last = small(last)
     joined = drawn.join(last, same, "left").withColumn("_first", F.coalesce(F.col("split_draw") <= F.col("_last"), F.lit(False)))
     done = joined
     if halves:  # a few rows with the very draw at which a group is cut
@@ -58,11 +58,6 @@ def _cut_by_draw(df: DataFrame, group: str, id_column: str, seed: int, purpose:
     return done.drop("_group", "_last", "_take", "_tied"), groups
 
 
-def _small(written: DataFrame) -> DataFrame:
-    """A written table of groups, with a hint to broadcast it where its rows, at up to 200 bytes, are under the bound."""
-    return F.broadcast(written) if written.count() * 200 <= BROADCAST_BYTES else written
-
-
 def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set") -> DataFrame:
     """Rows of the set and types with `split` ("train" or "test"), `place` (of the type in `filetypes`) and `split_draw`.
 

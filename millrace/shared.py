@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Longest side, in bytes of rows, that this library itself ever hints for a broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -34,5 +35,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(written: DataFrame, *arrays: str) -> DataFrame:
+    """A written table with a hint to broadcast it, where its rows, at 200 bytes and 8 for each item of `arrays`, are under the bound;
+    else as it is, for Spark to join by partitions."""
+    size = F.count("*") * 200
+    for a in arrays:
+        size = size + F.coalesce(F.sum(F.size(a)), F.lit(0)) * 8
+    return F.broadcast(written) if written.agg(size.alias("bytes")).first()["bytes"] <= BROADCAST_BYTES else written
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

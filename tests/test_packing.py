@@ -85,6 +85,14 @@ def test_greedy_buffers(spark):
         budget(0, 3.6, 4)
 
 
+def test_buffers_of_few_rows_find_the_same(spark, monkeypatch):
+    df = with_ordinals(spark.createDataFrame([(k, k % 5) for k in range(300)], "k bigint, units bigint").repartition(3), ["k"])
+    want = greedy([k % 5 for k in range(300)], 4)
+    for few in (0, 1000):
+        monkeypatch.setattr("millrace.operators.buffers.FEW_BOUNDS", few)
+        assert [r["buf"] for r in assign_buffers(df, 4, "units").orderBy("ord").collect()] == want
+
+
 def test_ordinals_and_replay(spark):
     df = spark.createDataFrame([(k % 7, k) for k in range(100)], "a int, ord_at bigint").repartition(5).withColumnRenamed("ord_at", "b")
     out = with_ordinals(df, ["a", "b"]).orderBy("ord").collect()
