@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.shared import ship
+
 #: Kinds of breaks from weak to strong.
 KINDS = ("character", "space", "sentence", "line", "block_line", "blank_line", "section")
 CHARACTER, SPACE, SENTENCE, LINE, BLOCK_LINE, BLANK_LINE, SECTION = range(7)
@@ -119,6 +121,7 @@ def pieces(records: DataFrame, limit: int, overlap: int, texts: bool = True) ->
                     rows.append((i, k, len(found), s, e, name, longest, *([t[s:e]] if texts else [])))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind_of.split(", ")])
 
+    ship(records.sparkSession)
     kind_of = PIECES + (", text string" if texts else "")
     long = records.select("id", "content").where(F.length("content") > limit)
     return long.dropDuplicates(["id"]).mapInPandas(batches, kind_of)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.shared import ship
+
 #: Default vocabulary; any file of the three kinds that `counter` reads may be given instead.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -48,6 +50,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """(id, n_tokens) and the columns `keep` of each row (id, text); a null text has 0 tokens."""
     keep = keep or []
+    ship(documents.sparkSession)
 
     def batches(it):
         count = counter(vocabulary)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import labels as L
 from millrace.llm.languages import LANGUAGES, dialects
+from millrace.shared import ship
 
 
 def checked(records: DataFrame) -> DataFrame:
@@ -19,6 +20,7 @@ def checked(records: DataFrame) -> DataFrame:
     `filetype` is taken without letter case, outer blanks and a leading dot. Null and blank contents give no row; rows that repeat an id count once.
     `accepted_by` lists the dialects, in order; it is empty for an invalid file. Further columns are ignored.
     """
+    ship(records.sparkSession)
     kind = L.filetype("filetype")
     rows = records.select("id", kind.alias("filetype"), "content").where(F.col("filetype").isin(*LANGUAGES) & F.col("content").rlike(r"(?U)\S"))
 
