@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once a context, where they wouldn't find it by themselves."""
+    context, home = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_has_millrace", False):
+        return
+    near = context.master.startswith("local") and str(home.parent) in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))
+    if not near:
+        archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        context.addPyFile(str(archive))
+    context._has_millrace = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or a fresh local one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +48,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     table don't repeat the work. Parquet keeps it small and lets each branch read only its columns.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,4 +64,5 @@ def small(written: DataFrame, *arrays: str) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
