@@ -11,7 +11,7 @@ from millrace.functions.tokens import BEYOND, SpecialTokens, Tokenizer, codepoin
 from millrace.operators.buffers import assign_buffers, budget
 from millrace.operators.fim import permute
 from millrace.operators.pack import offsets, shuffled_windows, windows
-from millrace.operators.split import sft_split, shuffled, split_by_filetype
+from millrace.operators.split import FILETYPES, sft_split, shuffled, split_by_filetype
 from millrace.operators.stats import chars_token_ratio
 from millrace.shared import cut
 from millrace.sources.jsonl import replayed, with_ordinals
@@ -58,13 +58,13 @@ def examples(df: DataFrame, how: Packer, key: str = "id") -> DataFrame:
     return shuffled_windows(made, how.seed, how.epoch, how.worker) if how.shuffle else made
 
 
-def pretrain_corpus(corpus: DataFrame, seq_length: int = 4096, sequences: int = 1024, fim_rate: float = 0.125, fim_spm_rate: float = 0.5, overlap: float = 0.125, seed: int = 42, tokenizer: Tokenizer = codepoints, special: SpecialTokens = BEYOND, test_size: float = 0.10, sample: int = 400) -> tuple[DataFrame, DataFrame]:
+def pretrain_corpus(corpus: DataFrame, seq_length: int = 4096, sequences: int = 1024, fim_rate: float = 0.125, fim_spm_rate: float = 0.5, overlap: float = 0.125, seed: int = 42, tokenizer: Tokenizer = codepoints, special: SpecialTokens = BEYOND, test_size: float = 0.10, sample: int = 400, filetypes: tuple[str, ...] = FILETYPES) -> tuple[DataFrame, DataFrame]:
     """(training examples, evaluation examples) of a corpus (id, content, set, filetype).
 
     Split by file type; characters per token from the first `sample` training rows set the budget of a buffer; training examples are
     permuted and overlap, evaluation examples are neither.
     """
-    split = split_by_filetype(corpus, seed=seed, test_size=test_size).select("id", "content", "split", "place", "split_draw")
+    split = split_by_filetype(corpus, seed=seed, test_size=test_size, filetypes=filetypes).select("id", "content", "split", "place", "split_draw")
     both = with_ordinals(split, ["split", "place", "split_draw", "id"])
     starts = {r["split"]: r["first"] for r in both.groupBy("split").agg(F.min("ord").alias("first")).collect()}
     train, test = (both.where(F.col("split") == s).withColumn("ord", F.col("ord") - starts.get(s, 0)) for s in ("train", "test"))
