@@ -50,10 +50,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_millrace_tables", []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that `cut` has written in this context, when no result made from them is needed any more; their number."""
+    jvm, paths = spark.sparkContext._jvm, spark.sparkContext.__dict__.pop("_millrace_tables", [])
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def small(written: DataFrame, *arrays: str) -> DataFrame:
     """A written table with a hint to broadcast it, where its rows, at 200 bytes and 8 for each item of `arrays`, are under the bound;
     else as it is, for Spark to join by partitions."""

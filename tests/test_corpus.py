@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from millrace.operators import metrics
 from millrace.operators.split import head, of_filetypes, of_set, sft_split, shuffled, split_by_filetype
 from millrace.plans.pipelines import Packer, pretrain_corpus
 from millrace.plans.queries import QUERIES, SQL
+from millrace.shared import cut, release, shared_folder, small
 from millrace.sources.jsonl import CORPUS, read_jsonl, require_columns, write_jsonl
 from millrace.streaming.packing import pack_stream, read_stream
 
@@ -104,6 +106,14 @@ def test_metrics(spark):
     assert named.columns == ["train/global_step", "train/epoch", "eval/loss", "eval/perplexity"] and named.count() == 9
 
 
+def test_written_tables(spark):
+    df = cut(spark.range(5), "five")
+    path = df.inputFiles()[0]
+    assert shared_folder(spark).removeprefix("file://") in path and shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert small(df).count() == 5 and release(spark) >= 1 and release(spark) == 0
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_stream(spark, tmp_path):
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("content", T.StringType())])
     for k in range(3):
