@@ -17,13 +17,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.shared import BROADCAST_BYTES, cut
+from millrace.shared import cut
+
+
+#: Most sources of a mix, whose targets are collected and stand in expressions, and most rows of all bins together.
+MOST_SOURCES, MOST_BINS = 10_000, 500_000
 
 
 @dataclass(frozen=True)
 class Mixing:
     """steps: most Newton steps. close: relative error of a source's tokens at which they end. bins: fineness of the
-    correction after rounding. seed: of the draws."""
+    correction after rounding, less where there are many sources. seed: of the draws."""
 
     steps: int = 60
     close: float = 1e-7
@@ -96,13 +100,13 @@ def mixed(documents: DataFrame, targets: DataFrame, how: Mixing = Mixing()) -> t
     tokens as all of `documents`, as far as caps allow; a source that can't reach its share leaves the rest to the others in
     proportion. The report has one row for each target: target_share, n_documents, source_tokens, mix_tokens, mix_share, copies_mean.
     Documents whose source is null or has no target aren't used; targets are one row a source (a small table, which is
-    collected); null shares count as 0 and null repeats as 1.
+    collected, at most MOST_SOURCES); null shares count as 0 and null repeats as 1.
     """
     spark = documents.sparkSession
-    # one row for each source of the mix: at most BROADCAST_BYTES of rows of about 100 bytes
-    rows = targets.limit(BROADCAST_BYTES // 100 + 1).collect()
-    if len(rows) > BROADCAST_BYTES // 100:
-        raise ValueError("too many targets")
+    rows = targets.limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} targets")
+    bins = max(8, min(how.bins, MOST_BINS // max(1, len(rows))))
     shares = {r["source"]: float(r["target_share"] or 0) for r in rows if r["source"] is not None}
     caps = {r["source"]: max(int(1 if r["max_repeats"] is None else r["max_repeats"]), 0) for r in rows if r["source"] is not None}
     if len(shares) < len(rows):
@@ -123,7 +127,7 @@ def mixed(documents: DataFrame, targets: DataFrame, how: Mixing = Mixing()) -> t
     rated = kept.where(F.col("source").isin(*[s for s, w in wanted.items() if w > 0])).withColumn("up", rate + draw).withColumn("cap", cap)
     rated = rated.withColumn("copies", F.least("cap", F.floor("up"))).withColumn("rest", F.col("up") - F.floor("up"))
     # tokens to move in each source, and the tokens that would move for each bin of the rest
-    binned = rated.withColumn("bin", F.least(F.floor(F.col("rest") * how.bins), F.lit(how.bins - 1)))
+    binned = rated.withColumn("bin", F.least(F.floor(F.col("rest") * bins), F.lit(bins - 1)))
     per = binned.groupBy("source", "bin").agg(
         F.sum(F.col("copies") * F.col("n_tokens")).alias("got"),
         F.sum(F.when(F.col("copies") < F.col("cap"), F.col("n_tokens")).otherwise(0)).alias("more"),
@@ -131,11 +135,11 @@ def mixed(documents: DataFrame, targets: DataFrame, how: Mixing = Mixing()) -> t
     )
     up, down = {}, {}
     got: dict[str, float] = {}
-    bins: dict[str, list] = {}
-    for r in per.toLocalIterator():  # sources times bins rows
+    by_source: dict[str, list] = {}
+    for r in per.toLocalIterator():  # at most MOST_BINS rows
         got[r["source"]] = got.get(r["source"], 0) + r["got"]
-        bins.setdefault(r["source"], []).append((r["bin"], r["more"], r["less"]))
-    for s, found in bins.items():
+        by_source.setdefault(r["source"], []).append((r["bin"], r["more"], r["less"]))
+    for s, found in by_source.items():
         off = wanted[s] - got[s]
         moved, place = 0.0, None
         ordered = sorted(found, reverse=off > 0)
@@ -146,7 +150,7 @@ def mixed(documents: DataFrame, targets: DataFrame, how: Mixing = Mixing()) -> t
             moved, place = moved + n, b
         if place is not None:
             (up if off > 0 else down)[s] = float(place)
-    moved = F.when(F.col("bin") >= _by_source(up, float(how.bins)), F.least("cap", F.col("copies") + 1)).when(F.col("bin") <= _by_source(down, -1.0), F.greatest(F.lit(0), F.col("copies") - 1)).otherwise(F.col("copies"))
+    moved = F.when(F.col("bin") >= _by_source(up, float(bins)), F.least("cap", F.col("copies") + 1)).when(F.col("bin") <= _by_source(down, -1.0), F.greatest(F.lit(0), F.col("copies") - 1)).otherwise(F.col("copies"))
     mix = cut(binned.select("id", "source", "n_tokens", moved.cast("bigint").alias("copies")).where("copies > 0"), "mix")
     made = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("n_copies"))
     sizes = counts.groupBy("source").agg(F.sum("n").alias("n_documents"), F.sum(F.col("n") * F.col("n_tokens")).alias("source_tokens"))
