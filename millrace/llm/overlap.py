@@ -19,14 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm import shingles as S
+from millrace.llm.bitmaps import bitmap, within
 from millrace.llm.verify import common_runs
 from millrace.shared import cut
 
-#: The bitmap has 2^26 bits, 8 MB, whatever the size of the data; more data only lets more runs through to the join.
-BITMAP_LOG2 = 26
-_BLOCK_LOG2 = 20
-
-
 @dataclass(frozen=True)
 class Containment:
     """share: least part of the evaluation record's distinct runs that the other must hold. spare: hits asked for
@@ -47,16 +43,14 @@ def _runs(records: DataFrame, how: Containment, bits: object = None) -> DataFram
     kind = "id bigint, print bigint, n int, runs array<bigint>"
 
     def batches(it):
-        mask = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for b in it:
             for r, e, data, at in S.blocks(b.column(1)):
                 w = S.words(data, at)
                 h, first = S.shingles(w, how.run_words)
                 long = w.counts >= least
                 keep = np.repeat(long, np.diff(first))
-                if mask is not None:
-                    place = h >> np.uint64(64 - BITMAP_LOG2)
-                    keep &= (mask[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
+                if bits is not None:
+                    keep &= within(bits.value, h)
                 at_kept = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))[first]
                 u, f = S.distinct(h[keep], at_kept)
                 rows = np.flatnonzero(long & (np.diff(f) > 0))
@@ -77,25 +71,6 @@ def _classes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.drop("print"), members
 
 
-def _bitmap(index: DataFrame) -> bytes:
-    """The bitmap over the hashes `run` of `index`: made in blocks by the executors, then put together (8 MB)."""
-
-    def block(key, pdf):
-        bits = np.zeros(1 << _BLOCK_LOG2, np.uint8)
-        bits[pdf["place"].to_numpy() & ((1 << _BLOCK_LOG2) - 1)] = 1
-        import pandas as pd
-
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    place = F.shiftrightunsigned("run", 64 - BITMAP_LOG2)
-    places = index.select(place.alias("place")).distinct().withColumn("block", F.shiftright("place", _BLOCK_LOG2))
-    out = bytearray(1 << (BITMAP_LOG2 - 3))
-    step = 1 << (_BLOCK_LOG2 - 3)
-    for r in places.groupBy("block").applyInPandas(block, "block bigint, bits binary").toLocalIterator():
-        out[r["block"] * step : (r["block"] + 1) * step] = r["bits"]
-    return bytes(out)
-
-
 def overlaps(evaluation: DataFrame, training: DataFrame, how: Containment = Containment()) -> DataFrame:
     """(eval_id, train_id, n_common, n_eval): all pairs where the training text holds at least `share` of the evaluation
     text's distinct word runs.
@@ -117,7 +92,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, how: Containment = Cont
     # a pair holds at least ceil(share * n) of the n runs, so it misses at most the rest of any choice of them
     chosen = ranked.where(F.expr(f"rank <= n - ceil(n * {least} / 10000) + needed"))
     index = cut(chosen.select("run", "a", "needed"), "index")
-    bits = spark.sparkContext.broadcast(_bitmap(index))
+    bits = spark.sparkContext.broadcast(bitmap(index.select("run")))
     others, other_members = _classes(cut(_runs(training, how, bits), "hits"))
     hits = others.select(F.col("rep").alias("b"), F.explode("runs").alias("run"))
     pairs = hits.join(index, "run").groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("a", "b")

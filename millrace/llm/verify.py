@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles as S
+from millrace.llm.bitmaps import bitmap, hashed_ids, id_hashes, within
 
 
-def run_sets(records: DataFrame, length: int) -> DataFrame:
-    """(id, runs) for rows (id, content): `runs` holds the sorted distinct 32-bit hashes of the word runs.
+def run_sets(records: DataFrame, length: int, bits: Broadcast) -> DataFrame:
+    """(id, runs) for rows (id, content) whose id is in the bitmap: `runs` holds the sorted distinct 32-bit hashes of the word runs.
 
     Two different runs of one pair share a 32-bit hash with a chance of about n*m/2^32 for texts of n and m
     runs; at 1,000 runs each that is one run in 4,000 pairs.
@@ -19,20 +21,24 @@ def run_sets(records: DataFrame, length: int) -> DataFrame:
 
     def batches(it):
         for b in it:
+            if not b.num_rows:
+                continue
+            b = b.filter(pa.array(within(bits.value, id_hashes(b.column(0).to_numpy()))))
             ids, column = b.column(0), b.column(1)
             for r, e, data, at in S.blocks(column):
                 h, first = S.shingles(S.words(data, at), length)
                 u, f = S.distinct((h >> np.uint64(32)).astype(np.uint32), first)
                 yield pa.RecordBatch.from_arrays([ids.slice(r, e - r), S.binary_column(u, f)], ["id", "runs"])
 
-    return records.select("id", "content").mapInArrow(batches, "id bigint, runs binary")
+    return records.select("id", "content").where(F.col("id").isNotNull()).mapInArrow(batches, "id bigint, runs binary")
 
 
 def with_sets(pairs: DataFrame, records: DataFrame, length: int) -> DataFrame:
-    """`pairs` (a, b, ...) with runs_a and runs_b; only the texts of records in a pair are taken through Python."""
+    """`pairs` (a, b, ...) with runs_a and runs_b. The scan of the texts keeps those whose id is in a bitmap of the pairs' ids, so texts
+    are never shuffled, only the sets of the records in pairs (and of few others)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = records.select("id", "content").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = run_sets(texts, length)
+    bits = pairs.sparkSession.sparkContext.broadcast(bitmap(hashed_ids(ids)))
+    sets = run_sets(records, length, bits).dropDuplicates(["id"])
     return pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b"
     )
