@@ -26,6 +26,7 @@ CRYPTOL_MARKS = "= : -> <- => .. ... ..< ..> | \\ ` <| |> - * ~ . ( ) [ ] { } ,
 CRYPTOL = Grammar(
     r"""
 script: topdecl?
+specification: param?
 header: 'module' modname 'where'
     | 'interface' 'module' modname 'where'
 instance: 'module' modname '=' modname ('{' modargs '}' | 'where' vdecls?)
@@ -315,10 +316,11 @@ def cryptol(text: str) -> frozenset[str]:
     out = frozenset(CRYPTOL.dialects)
     if header:
         out = CRYPTOL.accepts("header", header) if chunks or header[-1] == _CRY["where"] else CRYPTOL.accepts("instance", header)
+    rule = "specification" if header[:1] == _CRY["interface"] else "script"
     for c in chunks:
         if not out:
             break
-        out &= CRYPTOL.accepts("script", _shorter(_CRY_RUN, c))
+        out &= CRYPTOL.accepts(rule, _shorter(_CRY_RUN, c))
     return out
 
 
@@ -564,7 +566,9 @@ deltargets: deltarget (',' deltarget)* ','?
 deltarget: ID | member | '(' deltargets? ')' | '[' deltargets? ']'
 member: head trailer* ('.' ID | '[' slices ']')
 starred: starexpr (',' starexpr)* ','?
-starexpr: '*' binary | named
+starexpr: '*' binary | expr
+starnamed: '*' binary | named
+namedlist: starnamed (',' starnamed)* ','?
 named: ID ':=' expr | expr
 expr: disjunction ('if' disjunction 'else' expr)? | 'lambda' lparams? ':' expr
 disjunction: conjunction ('or' conjunction)*
@@ -574,8 +578,9 @@ compare: COMPARE | 'in' | 'not' 'in' | 'is' 'not'?
 binary: unary (BINARY unary)*
 unary: ('+' | '-' | '~')* 'await'? primary ('**' unary)?
 primary: head trailer*
-head: ID | NUMBER | STRING+ | CONSTANT | '...' | '(' ')' | '(' yielding ')' | '(' starexpr ')' | '(' starexpr ',' (starexpr (',' starexpr)* ','?)? ')' | '(' named comp+ ')'
-    | '[' ']' | '[' starred ']' | '[' named comp+ ']' | '{' '}' | '{' starred '}' | '{' named comp+ '}' | '{' pair (',' pair)* ','? '}' | '{' expr ':' expr comp+ '}'
+head: ID | NUMBER | strings | CONSTANT | '...' | '(' ')' | '(' yielding ')' | '(' named ')' | '(' starnamed ',' namedlist? ')' | '(' named comp+ ')'
+    | '[' ']' | '[' namedlist ']' | '[' named comp+ ']' | '{' '}' | '{' namedlist '}' | '{' named comp+ '}' | '{' pair (',' pair)* ','? '}' | '{' expr ':' expr comp+ '}'
+strings: STRING+ | BYTES+
 pair: expr ':' expr | '**' binary
 trailer: '.' ID | '(' args? ')' | '[' slices ']'
 slices: slice (',' slice)* ','?
@@ -586,13 +591,13 @@ args: parg (',' parg)* (',' karg)* (',' dargs)? ','? | karg (',' karg)* (',' dar
 parg: '*' expr | named
 karg: ID '=' expr | '*' expr
 dargs: '**' expr (',' (ID '=' expr | '**' expr))*
-subject: starred
+subject: named | starnamed ',' namedlist?
 patterns: openpattern (',' openpattern)* ','?
 openpattern: '*' ID | aspattern
 aspattern: orpattern ('as' ID)?
 orpattern: closed ('|' closed)*
-closed: '-'? NUMBER (('+' | '-') NUMBER)? | STRING+ | CONSTANT | ID | ID ('.' ID)+ | '(' patterns? ')' | '[' patterns? ']' | '{' (mappair (',' mappair)* ','?)? '}' | ID ('.' ID)* '(' (classarg (',' classarg)* ','?)? ')'
-mappair: (STRING+ | '-'? NUMBER | CONSTANT | ID ('.' ID)+) ':' aspattern | '**' ID
+closed: '-'? NUMBER (('+' | '-') NUMBER)? | strings | CONSTANT | ID | ID ('.' ID)+ | '(' patterns? ')' | '[' patterns? ']' | '{' (mappair (',' mappair)* ','?)? '}' | ID ('.' ID)* '(' (classarg (',' classarg)* ','?)? ')'
+mappair: (strings | '-'? NUMBER | CONSTANT | ID ('.' ID)+) ':' aspattern | '**' ID
 classarg: aspattern | ID '=' aspattern
 """,
     ("3.8", "3.13"),
@@ -601,7 +606,7 @@ classarg: aspattern | ID '=' aspattern
 )
 _PY_KIND = {w: _PY[w] for w in (*PYTHON_WORDS, *PYTHON_SOFT)}
 _PY_OP = {w: _PY[w] for w in (*PYTHON_MARKS, *PYTHON_AUGMENTED)}
-_P_NAME, _P_NUMBER, _P_STRING, _P_NL, _P_BLOCK, _P_CASES = (_PY[x] for x in ("NAME", "NUMBER", "STRING", "NL", "BLOCK", "CASES"))
+_P_NAME, _P_NUMBER, _P_STRING, _P_NL, _P_BLOCK, _P_CASES, _P_BYTES = (_PY[x] for x in ("NAME", "NUMBER", "STRING", "NL", "BLOCK", "CASES", "BYTES"))
 _P_IN, _P_OUT = _PY["indent"], _PY["dedent"]
 _PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
 _PY_TOKEN = re.compile(
@@ -722,12 +727,12 @@ def python_kinds(text: str) -> str | None:
                 depth -= 1
         elif k == 4:
             s = m[4]
-            prefix = s[:2].lower()
-            if "f" in prefix.split('"')[0].split("'")[0] and not _fields_parse(s):
+            prefix = s[:2].lower().split('"')[0].split("'")[0]
+            if "f" in prefix and not _fields_parse(s):
                 return None
-            if "b" in prefix.split('"')[0].split("'")[0] and not s.isascii():
+            if "b" in prefix and not s.isascii():
                 return None
-            add(_P_STRING)
+            add(_P_BYTES if "b" in prefix else _P_STRING)
         elif k == 6:
             if _LEADING_ZERO.match(m[6]):
                 return None
