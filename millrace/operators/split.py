@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.draws import uniform
-from millrace.shared import cut, small
+from millrace.shared import bounded
 from millrace.sources.jsonl import require_columns, with_ordinals
 
 #: File types of the unsupervised path, in the order of its parts.
@@ -33,22 +35,21 @@ def _cut_by_draw(df: DataFrame, group: str, id_column: str, seed: int, purpose:
     group is found from counts of 4096 even slices and then from the one slice that holds it, so a group of a third of all
     rows costs no task more than others. Rows with equal draws (repeated ids) are told apart by the order of all their columns' hash.
     """
-    spark = df.sparkSession
     drawn = df.withColumn("split_draw", uniform(seed, purpose, id_column))
     slice_of = F.floor(F.col("split_draw") * 4096)
     before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = cut(drawn.groupBy(F.col(group).alias("_group"), slice_of.alias("_slice")).agg(F.count("*").alias("_c")), "slices")
-    upto = slices.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy("_group"))).withColumn("_k", first.cast("bigint"))
-    groups = cut(upto.groupBy("_group").agg(F.first("_n").alias("_n"), F.first("_k").alias("_k")), "groups")
-    edge = small(cut(upto.where("_start < _k AND _k <= _start + _c").select("_group", "_slice", "_start", "_k"), "edge"))
+    slices = drawn.groupBy(F.col(group).alias("_group"), slice_of.alias("_slice")).agg(F.count("*").alias("_c"))
+    sized = slices.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy("_group")))
+    upto = sized.withColumn("_k", F.least(F.col("_n"), first.cast("bigint")))
+    edge = bounded(upto.where("_start < _k AND _k <= _start + _c OR _k < 1 AND _start = 0").select("_group", "_slice", "_start", "_n", "_k"), "edge")
     same = F.col(group).eqNullSafe(F.col("_group"))
     within = drawn.select(group, "split_draw").withColumn("_place", slice_of).join(edge, same & (F.col("_place") == F.col("_slice")))
     each = within.groupBy("_group", "split_draw", "_start", "_k").agg(F.count("*").alias("_tied"))
     under = F.col("_start") + F.coalesce(F.sum("_tied").over(Window.partitionBy("_group").orderBy("split_draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = each.withColumn("_under", under).where("_under < _k AND _k <= _under + _tied")
-    last = cut(last.select("_group", F.col("split_draw").alias("_last"), (F.col("_k") - F.col("_under")).alias("_take"), "_tied"), "last")
+    last = bounded(last.select("_group", F.col("split_draw").alias("_last"), (F.col("_k") - F.col("_under")).alias("_take"), "_tied"), "last")
     halves = not last.where("_take < _tied").isEmpty()
-    last = small(last)
+    groups = edge.select("_group", "_n", "_k")
     joined = drawn.join(last, same, "left").withColumn("_first", F.coalesce(F.col("split_draw") <= F.col("_last"), F.lit(False)))
     done = joined
     if halves:  # a few rows with the very draw at which a group is cut
@@ -58,6 +59,19 @@ def _cut_by_draw(df: DataFrame, group: str, id_column: str, seed: int, purpose:
     return done.drop("_group", "_last", "_take", "_tied"), groups
 
 
+def _split(df: DataFrame, id_column: str, seed: int, test_size: float, filetypes: tuple[str, ...], set_name: str | None, set_column: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """The rows as `split_by_filetype` gives them, and of each type the number of rows and of test rows."""
+    rows = of_filetypes(df if set_name is None else of_set(df, set_name, set_column), filetypes)
+    out, groups = _cut_by_draw(rows, "filetype", id_column, seed, "split", F.ceil(F.lit(float(test_size)) * F.col("_n")))
+    sizes = {r["_group"]: (r["_n"], r["_k"]) for r in groups.collect()}  # one row for each type asked for
+    if not sizes:
+        raise ValueError("no rows of the set and file types")
+    if any(k >= n for n, k in sizes.values()):
+        raise ValueError("a file type has no rows left for training")
+    places = F.create_map(*[x for t in dict.fromkeys(filetypes) for x in (F.lit(t), F.array(*[F.lit(k) for k, u in enumerate(filetypes) if u == t]))])
+    return out.withColumn("split", F.when(F.col("_first"), "test").otherwise("train")).withColumn("place", F.explode(places[F.col("filetype")])).drop("_first"), sizes
+
+
 def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set") -> DataFrame:
     """Rows of the set and types with `split` ("train" or "test"), `place` (of the type in `filetypes`) and `split_draw`.
 
@@ -65,15 +79,41 @@ def split_by_filetype(df: DataFrame, id_column: str = "id", seed: int = 42, test
     Train and test are each in the order of place, split_draw and id. A type of so few rows that it has none for training
     raises ValueError, and so does a result without rows.
     """
-    rows = of_filetypes(df if set_name is None else of_set(df, set_name, set_column), filetypes)
-    out, groups = _cut_by_draw(rows, "filetype", id_column, seed, "split", F.ceil(F.lit(float(test_size)) * F.col("_n")))
-    sizes = groups.collect()  # one row for each type asked for
-    if not sizes:
-        raise ValueError("no rows of the set and file types")
-    if any(r["_k"] >= r["_n"] for r in sizes):
-        raise ValueError("a file type has no rows left for training")
-    places = F.create_map(*[x for t in dict.fromkeys(filetypes) for x in (F.lit(t), F.array(*[F.lit(k) for k, u in enumerate(filetypes) if u == t]))])
-    return out.withColumn("split", F.when(F.col("_first"), "test").otherwise("train")).withColumn("place", F.explode(places[F.col("filetype")])).drop("_first")
+    return _split(df, id_column, seed, test_size, filetypes, set_name, set_column)[0]
+
+
+def _shared_out(strata: list[tuple[int, float, float]], parts: int) -> list[tuple[int, int]]:
+    """(first partition, number) of each stratum (rows, least draw, draw beyond the greatest), in proportion to the rows, at least one each."""
+    rows = sum(n for n, _, _ in strata) or 1
+    out, first = [], 0
+    for n, _, _ in strata:
+        k = max(1, round(parts * n / rows))
+        out.append((first, k))
+        first += k
+    return out
+
+
+def _part(draw: Column, low: float, high: float, first: int, number: int) -> Column:
+    share = (draw - low) / max(high - low, 1e-12)
+    return F.lit(first) + F.greatest(F.lit(0), F.least(F.lit(number - 1), F.floor(share * number).cast("int")))
+
+
+def split_in_order(df: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None, id_column: str = "id", seed: int = 42, test_size: float = 0.10, filetypes: tuple[str, ...] = FILETYPES, set_name: str | None = "unsupervised", set_column: str = "set") -> DataFrame:
+    """`split_by_filetype` written once in the order of its two results, with `part` and `ord`, which counts from 0 in each split.
+
+    As draws are even, the ranges of the partitions follow from the sizes of the types, and no sample is taken: the rows are read, shuffled and
+    written once. `also` turns the sorted rows into those to write (see `with_ordinals`); it must keep `split`.
+    """
+    rows, sizes = _split(df, id_column, seed, test_size, filetypes, set_name, set_column)
+    strata = [(s, k, *sizes[t]) for s in ("test", "train") for k, t in enumerate(filetypes) if t in sizes]
+    bounds = [(c, 0.0, c / n) if s == "test" else (n - c, c / n, 1.0) for s, _, n, c in strata]
+    shares = _shared_out(bounds, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = F.lit(0)
+    for (s, k, _, _), (_, low, high), (first, count) in zip(strata, bounds, shares, strict=True):
+        number = F.when((F.col("split") == s) & (F.col("place") == k), _part(F.col("split_draw"), low, high, first, count)).otherwise(number)
+    out = with_ordinals(rows, ["split", "place", "split_draw", id_column], also=also or (lambda d: d), placed=(number, sum(c for _, c in shares))).drop("_at")
+    n_test = sum(c for s, _, _, c in strata if s == "test")
+    return out.withColumn("ord", F.when(F.col("split") == "train", F.col("ord") - n_test).otherwise(F.col("ord")))
 
 
 def sft_split(df: DataFrame, id_column: str = "id", seed: int = 4371, train_size: float = 0.95, set_name: str | None = "supervised", set_column: str = "set") -> DataFrame:
@@ -84,15 +124,20 @@ def sft_split(df: DataFrame, id_column: str = "id", seed: int = 4371, train_size
 
 
 def shuffled(df: DataFrame, id_column: str = "id", seed: int = 4371, group: str | None = None) -> DataFrame:
-    """`df` with `ord`, the place of each row in a random order, from 0; within each value of `group` if given."""
-    draw: Column = uniform(seed, "shuffle", id_column)
-    drawn = df.withColumn("_draw", draw)
+    """`df` with `ord`, the place of each row in a random order, from 0; within each value of `group`, of which there are few, if given."""
+    drawn = df.withColumn("_draw", uniform(seed, "shuffle", id_column))
+    counts = [(r["g"], r["count"]) for r in drawn.groupBy((F.col(group) if group else F.lit(0)).alias("g")).count().collect()]
+    counts.sort(key=lambda r: (r[0] is not None, r[0]))
+    shares = _shared_out([(n, 0.0, 1.0) for _, n in counts], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number, start, starts = F.lit(0), 0, F.lit(0).cast("bigint")
+    for (g, n), (first, count) in zip(counts, shares, strict=True):
+        here = F.col(group).eqNullSafe(F.lit(g)) if group else F.lit(True)
+        number = F.when(here, _part(F.col("_draw"), 0.0, 1.0, first, count)).otherwise(number)
+        starts = F.when(here, F.lit(start).cast("bigint")).otherwise(starts)
+        start += n
     keys = ["_draw", id_column]
-    out = with_ordinals(drawn, [group, *keys] if group else keys).drop("part", "_draw")
-    if not group:
-        return out
-    first = out.groupBy(F.col(group).alias("_group")).agg(F.min("ord").alias("_first"))
-    return out.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("ord", F.col("ord") - F.col("_first")).drop("_first", "_group")
+    out = with_ordinals(drawn, [group, *keys] if group else keys, placed=(number, sum(c for _, c in shares) or 1)).drop("part", "_draw")
+    return out.withColumn("ord", F.col("ord") - starts)
 
 
 def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:

@@ -16,7 +16,12 @@ def counts(df: DataFrame, *by: str) -> DataFrame:
 def chars_token_ratio(df: DataFrame, content: str = "content", tokens: Column | str = "tokens") -> DataFrame:
     """One row: n_chars, n_tokens and ratio, the ratio of sums; NaN without rows, and 0 tokens count as 1. A null text has neither."""
     size = F.coalesce(F.size(F.col(tokens) if isinstance(tokens, str) else tokens), F.lit(0))
-    sums = df.select(F.coalesce(F.length(content), F.lit(0)).cast("bigint").alias("c"), F.greatest(size, F.lit(0)).cast("bigint").alias("t")).agg(
+    return ratio_of_counts(df.select(F.length(content).alias("c"), F.greatest(size, F.lit(0)).alias("t")), "c", "t")
+
+
+def ratio_of_counts(df: DataFrame, chars: str, tokens: str) -> DataFrame:
+    """The same from counts of characters and tokens; null counts as 0."""
+    sums = df.select(F.coalesce(chars, F.lit(0)).cast("bigint").alias("c"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("t")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_chars"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens")
     )
     ratio = F.col("n_chars").cast("double") / F.greatest(F.col("n_tokens"), F.lit(1))
@@ -35,3 +40,13 @@ def actual_length(placed: DataFrame, seq_length: int, overlap: float = 0.0, buf:
     s = stride(seq_length, overlap)
     each = placed.groupBy(buf).agg(F.sum("n").alias("total"))
     return each.agg(F.coalesce(F.sum(F.call_function("div", F.col("total") + (s - 1), F.lit(s).cast("bigint"))), F.lit(0)).cast("bigint").alias("actual"))
+
+
+def report(df: DataFrame, chars: str, tokens: str, seq_length: int, overlap: float = 0.0) -> DataFrame:
+    """Rows (name, value): rows, characters, tokens, chars_per_token and estimated_windows of rows with counts of characters and tokens."""
+    s = stride(seq_length, overlap)
+    count = lambda c: F.coalesce(F.sum(F.greatest(F.col(c), F.lit(0))), F.lit(0)).cast("double")
+    one = df.agg(F.count("*").cast("double").alias("n"), count(chars).alias("c"), count(tokens).alias("t"))
+    ratio = F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.col("c") / F.greatest(F.col("t"), F.lit(1.0)))
+    named = {"rows": F.col("n"), "characters": F.col("c"), "tokens": F.col("t"), "chars_per_token": ratio, "estimated_windows": F.greatest(F.lit(1.0), F.ceil(F.col("t") / s).cast("double"))}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in named.items()])).alias("x")).select("x.name", "x.value")

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longest side, in bytes of rows, that this library itself ever hints for a broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -41,6 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which `release` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_millrace_tables", []).append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and return the written table.
 
@@ -49,14 +57,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    spark.sparkContext.__dict__.setdefault("_millrace_tables", []).append(path)
+    path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that `cut` has written in this context, when no result made from them is needed any more; their number."""
+    """Delete what `cut` and others have written to places of `fresh` in this context, when no result made from them is needed any more; their number."""
     jvm, paths = spark.sparkContext._jvm, spark.sparkContext.__dict__.pop("_millrace_tables", [])
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,6 +80,49 @@ def small(written: DataFrame, *arrays: str) -> DataFrame:
     return F.broadcast(written) if written.agg(size.alias("bytes")).first()["bytes"] <= BROADCAST_BYTES else written
 
 
+def local(spark: SparkSession, rows: list[tuple], kind: str | T.StructType) -> DataFrame:
+    """A table of rows that the driver holds, part of the plan itself: reading it takes no job."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T.StructType.fromDDL(kind) if isinstance(kind, str) else kind
+    names = fields.fieldNames()
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], to_arrow_schema(fields)), fields)
+
+
+def lookup(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """A table of rows that the driver holds, hinted for a broadcast under the same bound; else Spark joins by partitions."""
+    df = local(spark, rows, kind)
+    return F.broadcast(df) if len(rows) * 200 <= BROADCAST_BYTES else df
+
+
+def bounded(df: DataFrame, name: str) -> DataFrame:
+    """A table of short rows, brought to the driver and hinted for a broadcast if it is under the bound at 200 bytes a row; else
+    written, for Spark to join by partitions."""
+    most = BROADCAST_BYTES // 200
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(local(df.sparkSession, rows, df.schema)) if len(rows) <= most else cut(df, name)
+
+
+#: Rows of one key from which a lookup takes the key apart; least, and as a share of all rows.
+HOT_ROWS, HOT_SHARE = 10_000, 1e-4
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    """`left` joined with `right` on `key`, of which `right` has one row for each value, where any value may hold a large part of `left`.
+
+    Values with many rows are at most 1 / HOT_SHARE: their rows of `right` are broadcast, so that no task gathers them; the others
+    are joined by partitions. `left` should be a written table: it is read three times.
+    """
+    if hot_rows is None:
+        hot_rows = max(HOT_ROWS, int(left.count() * HOT_SHARE) + 1)
+    hot = cut(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(few, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -1,6 +1,7 @@
 import json
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ import __spark_entry__ as entry_module
 from millrace.functions.draws import uniform
 from millrace.operators import metrics
 from millrace.operators.split import head, of_filetypes, of_set, sft_split, shuffled, split_by_filetype
-from millrace.plans.pipelines import Packer, pretrain_corpus
+from millrace.operators.stats import report
+from millrace.plans.pipelines import Packer, pretrain_corpus, sft_files
 from millrace.plans.queries import QUERIES, SQL
-from millrace.shared import cut, release, shared_folder, small
+from millrace.shared import bounded, cut, looked_up, release, shared_folder, small
 from millrace.sources.jsonl import CORPUS, read_jsonl, require_columns, write_jsonl
 from millrace.streaming.packing import pack_stream, read_stream
 
@@ -106,6 +108,44 @@ def test_metrics(spark):
     assert named.columns == ["train/global_step", "train/epoch", "eval/loss", "eval/perplexity"] and named.count() == 9
 
 
+def test_early_stops_of_long_runs_against_a_plain_model(spark):
+    rng = random.Random(8)
+    data = [(run, s, rng.choice((float("nan"), rng.uniform(0, 9)))) for run, n in (("a", 900), ("b", 40), ("c", 1)) for s in range(n)]
+    df = spark.createDataFrame(data + data[:50] + [(None, 1, 1.0)], "run_id string, global_step bigint, eval_loss double").repartition(5)
+    got = {r["run_id"]: (r["best_step"], r["best_loss"], r["stop_step"]) for r in metrics.early_stops(df, patience=7, threshold=0.01).collect()}
+    for run in "abc":
+        best, last, stop, at = math.inf, -1, None, None
+        for r, s, x in data:
+            if r != run:
+                continue
+            if not math.isnan(x) and (best == math.inf or x < best - 0.01):
+                last = s
+            if not math.isnan(x) and x < best:
+                best, at = x, s
+            if stop is None and s - last >= 7:
+                stop = s
+        assert got[run] == (at, None if at is None else best, stop)
+    assert set(got) == {"a", "b", "c"} and metrics.early_stops(df.limit(0)).count() == 0
+
+
+def test_lookup_of_hot_keys(spark):
+    left = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)] + [(None, 5)], "key bigint, n bigint").repartition(4)
+    right = spark.createDataFrame([(k, k * 2) for k in range(2000)], "key bigint, twice bigint")
+    want = sorted(map(tuple, left.join(right, "key").select("key", "n", "twice").collect()))
+    for hot in (None, 100, 10**9):
+        assert sorted(map(tuple, looked_up(left, right, "key", hot).select("key", "n", "twice").collect())) == want
+    assert bounded(right, "right").count() == 2000 and looked_up(left.limit(0), right, "key").count() == 0
+
+
+def test_report_and_supervised_files(spark, tmp_path):
+    counted = spark.createDataFrame([(10, 4), (None, None), (0, 0)], "c int, t int")
+    got = {r["name"]: r["value"] for r in report(counted, "c", "t", 4).collect()}
+    assert got == {"rows": 3, "characters": 10, "tokens": 4, "chars_per_token": 2.5, "estimated_windows": 1}
+    assert math.isnan({r["name"]: r["value"] for r in report(counted.limit(0), "c", "t", 4).collect()}["chars_per_token"])
+    train, val = sft_files(rows(spark, {"a": 40, "null": 5}, "supervised"), str(tmp_path / "sft"))
+    assert train.count() == 42 and val.count() == 3 and {r["filetype"] for r in train.union(val).collect()} == {"a", None}
+
+
 def test_written_tables(spark):
     df = cut(spark.range(5), "five")
     path = df.inputFiles()[0]
@@ -125,8 +165,17 @@ def test_stream(spark, tmp_path):
 
 
 def test_pipeline(spark):
-    train, test = pretrain_corpus(rows(spark, {"cry": 40, "saw": 12}), seq_length=64, sequences=4)
+    df = rows(spark, {"cry": 40, "saw": 12})
+    train, test = pretrain_corpus(df, seq_length=64, sequences=4)
     assert train.where("size(labels) <> 64").count() == 0 and test.count() > 0
+    plan = train._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # tokens are read, not made again
+    lists = df.withColumn("tokens", F.array(F.col("id"), F.lit(7)).cast("array<bigint>"))
+    once, twice = (pretrain_corpus(lists, 8, 2, fim_rate=0.0, overlap=0.0, content="tokens", already_tokenized=True, epochs=e)[0] for e in (1, 2))
+    count = lambda made: made.select(F.sum(F.size(F.filter("input_ids", lambda x: x == 7)))).first()[0]
+    assert count(twice) == 2 * count(once) > 0
+    with pytest.raises(ValueError):
+        pretrain_corpus(df, content="absent")
 
 
 def test_entry_lists_queries():

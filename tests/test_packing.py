@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.tokens import BEYOND, SpecialTokens, codepoints, registry
+from millrace.functions.tokens import BEYOND, SpecialTokens, codepoints, enclosed, file_special, registry, resolved, vocabulary_file, vocabulary_text
 from millrace.operators.buffers import assign_buffers, budget
 from millrace.operators.fim import permute, permuted
 from millrace.operators.pack import batches, offsets, shuffled_windows, stride, windows
@@ -153,6 +153,24 @@ def test_registry(spark):
         registry(spark.createDataFrame([(None, "eos")], "token_id bigint, token_role string"))
 
 
+def test_sentinels_by_name():
+    given = SpecialTokens(eos=1, unk=3)
+    found = resolved(given, {"<|fim_prefix|>": 9, "<|fim_middle|>": 3}.get, 50)
+    assert found.sentinels() == (50, 9, 51, 52) and found.eos == 1
+    file = file_special("/opt/tokenizers/byte_bpe_50k.json", "<|endoftext|>")
+    assert file.eos == file.padding == 50256 and file.sentinels() == (50257, 50258, 50259, 50260)
+    with pytest.raises(ValueError):
+        file_special("/opt/tokenizers/byte_bpe_50k.json", "absent")
+
+
+def test_plug_in_tokenizer_there_and_back(spark):
+    texts = ["hello <|endoftext|> wörld", "", None, "x " * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    there, back = vocabulary_file("/opt/tokenizers/byte_bpe_50k.json", names_are_text=True), vocabulary_text("/opt/tokenizers/byte_bpe_50k.json")
+    assert [r[0] for r in df.select(back(there(F.col("t")))).collect()] == [t or "" for t in texts]
+    assert [r[0] for r in df.select(enclosed(codepoints, 5, None)(F.col("t"))).collect()][1:3] == [[5], [5]]
+
+
 def test_examples_do_not_depend_on_partitions(spark):
     rows = [(k, "text %d " % k * (k % 9)) for k in range(60)]
     how = Packer(seq_length=16, num_of_sequences=4, chars_per_token=2.0, overlap_ratio=0.25)
