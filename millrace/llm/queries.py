@@ -123,8 +123,18 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full containers are, and how often two texts in one have the same language tag, beside what chance would give."""
     x = C.Packing(capacity=_limits(spark, d)["container_capacity"])
-    return C.fill(C.packed(_documents(spark, d), x), x.capacity)
+    tags = table(spark, d, "documents").select(F.col("doc_id").alias("id"), L.language("lang").alias("lang"))
+    return C.fill(C.packed(_documents(spark, d), x).join(tags, "id"), x.capacity, "lang")
+
+
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packing, as counts that SQL knows without a tokenizer."""
+    x = C.Packing(capacity=_limits(spark, d)["container_capacity"])
+    placed = cut(C.packed(_documents(spark, d), x), "placed")
+    n = placed.agg(F.countDistinct("id").alias("n_documents"), F.count_if(F.col("piece") == 0).alias("n_first_pieces"))
+    return n.crossJoin(F.broadcast(C.broken(placed, x.capacity)))  # one row each
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -184,6 +194,7 @@ def oracle_sql() -> dict[str, str]:
             links AS (SELECT x.w, count(DISTINCT y.w)::BIGINT AS n FROM both_ways JOIN words AS x ON x.id = a JOIN words AS y ON y.id = b WHERE x.w <> y.w GROUP BY 1)
             SELECT id AS record_id, least(id, coalesce((SELECT min(b) FROM reach WHERE a = id), id)) AS group_id, coalesce(n, 0)::BIGINT AS n_links FROM words LEFT JOIN links USING (w) WHERE k >= 20""",
         "p2_found": f"SELECT record_id, CASE WHEN {lines} > 6000 THEN 'inside_line' ELSE 'line_ends' END AS cut_kind FROM (SELECT record_id, any_value(content) AS content FROM all_hybrid GROUP BY 1) WHERE length(content) > 6000",
+        "p6_checks": "SELECT count(*)::BIGINT AS n_documents, count(*)::BIGINT AS n_first_pieces, 0::BIGINT AS n_over, 0::BIGINT AS n_apart, 0::BIGINT AS n_split FROM documents",
         "p5_found": f"SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM ({_OVERLAP_SQL})",
         "p5_counts": f"""WITH o AS ({_OVERLAP_SQL}), t AS (SELECT DISTINCT record_id, split_name, nullif(regexp_replace(lower(trim(repo)), '/+$', ''), '') AS repo, nullif(regexp_replace(lower(trim(filetype)), '^\\.', ''), '') AS filetype
                 FROM all_hybrid WHERE split_name IN ('test', 'val')), c AS (SELECT a AS record_id, count(*) AS n FROM o GROUP BY 1)

@@ -65,27 +65,31 @@ def test_budget(spark):
 
 
 def test_hilbert_neighbours_touch():
-    side = 8
-    shift = C.BITS - 3
-    grid = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)]) << shift
+    shift = C.BITS - 2
+    grid = np.array(np.meshgrid(*[range(4)] * C.DIMENSIONS)).reshape(C.DIMENSIONS, -1).T << shift
     order = grid[np.argsort(C.hilbert_keys(grid))] >> shift
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
-def test_containers(spark):
-    rng = random.Random(3)
-    rows = [(k, "word " * rng.choice((0, 1, 5, 20, 60, 90, 300)), 3) for k in range(600)] + [(700, None, 3), (701, "", 3), (1, "word " * 5, 3)]
-    df = spark.createDataFrame(rows, "id bigint, text string, key int").repartition(4)
-    how = C.Packing(capacity=100, run=64)
-    out = C.packed(df, how)
-    got = out.collect()
+def check_containers(got, capacity):
     by = {}
     for r in got:
         by.setdefault(r["container_id"], []).append((r["start_token"], r["piece_tokens"], r["id"]))
     for held in by.values():
         held.sort()
-        assert sum(n for _, n, _ in held) <= 100
+        assert sum(n for _, n, _ in held) <= capacity
         assert [s for s, _, _ in held] == [sum(n for _, n, _ in held[:k]) for k in range(len(held))]
+    return by
+
+
+def test_containers(spark):
+    rng = random.Random(3)
+    rows = [(k, "word " * rng.choice((0, 1, 5, 20, 60, 90, 300)), 3) for k in range(600)] + [(700, None, 3), (701, "", 3), (1, "word " * 5, 3)]
+    df = spark.createDataFrame(rows, "id bigint, text string, key int").repartition(4)
+    how = C.Packing(capacity=100)
+    out = C.packed(df, how)
+    got = out.collect()
+    check_containers(got, 100)
     size = counter(VOCABULARY)
     want = {k: 0 for k, _, _ in rows}
     for k, t, _ in rows:
@@ -96,14 +100,41 @@ def test_containers(spark):
     assert have == want
     assert all(want[r["id"]] > 100 for r in got if r["piece"] > 0)
     full = C.fill(out, 100).first()
-    assert full["n_items"] == len(rows) and full["used_share"] > 0.88
+    assert full["n_items"] == len(rows) and full["used_share"] > 0.88, full
+    assert tuple(C.broken(out, 100).first()) == (0, 0, 0)
     assert C.packed(df.limit(0), how).count() == 0 and C.fill(C.packed(df.limit(0), how), 100).first()["n_containers"] == 0
 
 
+def test_containers_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(C, "STRETCH", 150)
+    rows = [(k, t) for k, t in enumerate(texts(400, 9))]
+    results = []
+    for parts in (1, 3, 11):
+        df = spark.createDataFrame(rows, "id bigint, text string").repartition(parts)
+        results.append(sorted(map(tuple, C.packed(df, C.Packing(capacity=700)).collect())))
+    assert results[0] == results[1] == results[2] and len({r[3] >> 32 for r in results[0]}) == 3
+
+
+def test_filled_against_what_must_hold():
+    rng = np.random.default_rng(2)
+    for capacity in (1, 7, 64):
+        sizes = rng.integers(0, 3 * capacity, 500)
+        x = C.filled(sizes, C.Packing(capacity=capacity, ahead=12))
+        total = np.zeros(500, int)
+        np.add.at(total, x[:, 0], x[:, 2])
+        assert (total == sizes).all() and x[:, 2].max() <= capacity
+        assert np.bincount(x[:, 3], x[:, 2]).max() <= capacity
+        assert (np.bincount(x[:, 0]) == np.maximum(1, -(-sizes // capacity))).all()
+        first = [x[x[:, 3] == c, 0].min() for c in np.unique(x[:, 3])]
+        assert len(first) == x[:, 3].max() + 1
+    assert len(C.filled(np.zeros(0, int), C.Packing())) == 0
+
+
 def test_alike_texts_lie_together(spark):
     df = spark.createDataFrame([(k, ("red apple pie " if k % 2 else "big green car ") * 9) for k in range(200)], "id bigint, text string")
-    out = C.packed(df, C.Packing(capacity=300, run=40)).groupBy("container_id").agg(F.countDistinct(F.col("id") % 2).alias("kinds")).collect()
-    assert sum(r["kinds"] > 1 for r in out) <= 4
+    out = C.packed(df, C.Packing(capacity=300)).withColumn("kind", F.col("id") % 2)
+    full = C.fill(out, 300, "kind").first()
+    assert full["alike_share"] > 0.95 and abs(full["by_chance"] - 0.5) < 0.01
 
 
 def test_wanted_tokens():
