@@ -1,10 +1,10 @@
 """Token counts of all texts by regression, corrected by tokenized holdouts.
 
-For each language a bounded sample of texts is tokenized. On one part a least-squares model from counted features
+For each language a bounded sample of texts is tokenized. On one third a least-squares model from counted features
 (bytes, words, digits, punctuation, white space, code points of each script) to tokens is fitted, each text weighted by
-1 / bytes, as the error grows with length. On the other part, the holdout, the ratio of true to predicted totals is measured,
-and every prediction is multiplied by it. The features of all texts are then counted, whole, and the models applied; no text
-outside the sample is tokenized.
+1 / bytes, as the error grows with length. On the second, the holdout, the ratio of true to predicted totals is measured,
+and every prediction is multiplied by it. The third tells the error of what comes out. The features of all texts are then counted, whole, and
+the models applied; no text outside the sample is tokenized.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from millrace.llm import shingles as S
 from millrace.llm.tokenizers import VOCABULARY, counter
-from millrace.shared import cut
+from millrace.shared import bounded, cut
 
 #: Classes of bytes, by the byte and the one before it. A multi-byte code point counts at its second byte.
 CLASSES = (
@@ -92,30 +92,49 @@ def _columns(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Budget:
-    """fitted, held: sampled texts of a language for the fit and for the holdout. languages: the most frequent labels
-    get a model of their own, all others share one. vocabulary: path of the tokenizer."""
+    """fitted, held, tested: sampled texts of a language for the fit, for the correction and for the error. least: sampled texts
+    under which a language has no model of its own. vocabulary: path of the tokenizer."""
 
     fitted: int = 384
     held: int = 384
-    languages: int = 48
+    tested: int = 384
+    least: int = 6 * len(CLASSES)
     vocabulary: str = VOCABULARY
 
+    @property
+    def sampled(self) -> int:
+        return self.fitted + self.held + self.tested
+
+
+#: Models of their own that are sent to the tasks, at most; more languages raise ValueError.
+MOST_MODELS = 30_000
+
+
+def _sample(texts: DataFrame, size: int) -> DataFrame:
+    """(id, label, text, rank): `size` texts of each label, those with the least hashed ids; the label null takes all texts.
+
+    The scan passes texts whose hash is under a bound from the label's count, four times the sample on average, so that no more are
+    ranked; if a label has fewer under its bound (many rows that repeat few ids), its sample is smaller.
+    """
+    each = F.explode(F.array(F.col("language"), F.lit(None).cast("string")))
+    counts = bounded(texts.select(each.alias("label")).groupBy("label").agg(F.count("*").alias("n")), "counts")
+    hashed = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    labelled = texts.select("id", "text", each.alias("label"), hashed.alias("hash"))
+    near = labelled.join(counts.withColumnRenamed("label", "_label"), F.col("label").eqNullSafe(F.col("_label"))).where(F.col("hash") * F.col("n") < 4 * size)
+    order = Window.partitionBy("label").orderBy("hash", "id")
+    ranked = near.dropDuplicates(["id", "label"]).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= size).select("id", "label", "text", "rank")
+
 
 def models(texts: DataFrame, how: Budget = Budget()) -> DataFrame:
-    """One row for each language with a model (label null: the shared one): n_fitted, n_held, bias, error, weights.
+    """One row for each language (label null: the shared model, from texts of all languages): `own`, whether it has a model of its own, n_fitted,
+    n_held, n_tested, bias, error, weights.
 
-    `texts` has id, language and text. The sample takes the texts with the least hashed ids, so it doesn't depend on
-    partitioning; `error` is the mean absolute error on the holdout, by text, as a share of the mean.
+    `texts` has id, language and text. The sample depends on ids alone, not on partitioning. `error` is the mean absolute error of the
+    corrected counts on the tested texts, by text, as a share of the mean; nothing of them takes part in fit or correction. A language with
+    fewer than `least` sampled texts uses the shared model; a shared model of so few is fitted on all of them, with bias 1 and no error.
     """
-    size = how.fitted + how.held
-    named = texts.select("id", "language").distinct()
-    frequent = named.where("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").limit(how.languages)
-    labelled = named.join(frequent.select("language"), "language", "left_semi")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    own = labelled.select("id", F.col("language").alias("label"))
-    shared = named.select("id", F.lit(None).cast("string").alias("label"))
-    picked = own.union(shared).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
-    sample = texts.select("id", "text").join(F.broadcast(picked), "id").dropDuplicates(["id", "label"])
+    sample = _sample(texts, how.sampled)
 
     def counted(it):
         count = counter(how.vocabulary)
@@ -127,23 +146,29 @@ def models(texts: DataFrame, how: Budget = Budget()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("label").slice(r, e - r), b.column("rank").slice(r, e - r), pa.array(n[r:e]), lists], ["label", "rank", "n_tokens", "x"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = pdf["label"].iloc[0]
+        label = None if pd.isna(label) else label
         pdf = pdf.sort_values("rank")
-        x, y, rank = np.stack(pdf["x"].to_numpy()), pdf["n_tokens"].to_numpy(float), pdf["rank"].to_numpy()
-        small = len(y) < 2 * len(CLASSES)  # too few for a holdout of its own: fit and hold all
-        a = np.ones(len(y), bool) if small else rank % 2 == 0
-        held = np.ones(len(y), bool) if small else ~a
+        x, y = np.stack(pdf["x"].to_numpy()), pdf["n_tokens"].to_numpy(float)
+        few = len(y) < how.least
+        if few and label is not None:
+            return pd.DataFrame({"label": [label], "own": [False], "n_fitted": [0], "n_held": [0], "n_tested": [0], "bias": [None], "error": [None], "weights": [None]})
+        place = np.arange(len(y)) * how.sampled // len(y)  # the order is that of hashes
+        a = np.ones(len(y), bool) if few else place < how.fitted
+        held = np.zeros(len(y), bool) if few else (place >= how.fitted) & (place < how.fitted + how.held)
+        tested = np.zeros(len(y), bool) if few else place >= how.fitted + how.held
         weight = 1 / np.sqrt(x.sum(1) + 16)
         left, right = _columns(x[a]) * weight[a, None], y[a] * weight[a]
         scale = np.sqrt((left**2).mean(0)) + 1e-9
         left = left / scale
         w = np.linalg.solve(left.T @ left + 1e-4 * a.sum() * np.eye(left.shape[1]), left.T @ right) / scale
-        guess = np.maximum(_columns(x[held]) @ w, 0)
-        bias = y[held].sum() / guess.sum() if guess.sum() > 0 else 1.0
-        error = np.abs(guess * bias - y[held]).mean() / max(y[held].mean(), 1e-9)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n_fitted": [int(a.sum())], "n_held": [int(held.sum())], "bias": [float(bias)], "error": [float(error)], "weights": [w.tolist()]})
+        guess = np.maximum(_columns(x) @ w, 0)
+        bias = float(y[held].sum() / guess[held].sum()) if guess[held].sum() > 0 else 1.0
+        error = float(np.abs(guess[tested] * bias - y[tested]).mean() / max(y[tested].mean(), 1e-9)) if tested.any() else None
+        return pd.DataFrame({"label": [label], "own": [True], "n_fitted": [int(a.sum())], "n_held": [int(held.sum())], "n_tested": [int(tested.sum())], "bias": [bias], "error": [error], "weights": [w.tolist()]})
 
     kind = "label string, rank int, n_tokens bigint, x array<double>"
-    out = "label string, n_fitted bigint, n_held bigint, bias double, error double, weights array<double>"
+    out = "label string, own boolean, n_fitted bigint, n_held bigint, n_tested bigint, bias double, error double, weights array<double>"
     fitted = sample.select("label", "rank", "text").mapInArrow(counted, kind).groupBy("label").applyInPandas(fit, out)
     return cut(fitted, "models")
 
@@ -151,9 +176,13 @@ def models(texts: DataFrame, how: Budget = Budget()) -> DataFrame:
 def estimates(texts: DataFrame, fitted: DataFrame) -> DataFrame:
     """(id, n_bytes, n_tokens) of each id of `texts` (id, language, text), by the models of `models`.
 
-    Rows that repeat an id count once; a null or empty text has 0 tokens. At most languages + 1 models are sent to the tasks.
+    Rows that repeat an id count once; a null or empty text has 0 tokens. A language without a model of its own takes the shared one.
+    At most MOST_MODELS models are sent to the tasks.
     """
-    known = {r["label"]: np.array(r["weights"]) * r["bias"] for r in fitted.collect()}
+    rows = fitted.where("own").select("label", "weights", "bias").limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} languages with models of their own")
+    known = {r["label"]: np.array(r["weights"]) * r["bias"] for r in rows}
     shared = known.get(None, np.zeros(len(CLASSES) + 1))
 
     def batches(it):

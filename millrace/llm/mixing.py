@@ -16,20 +16,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.shared import cut
+from millrace.shared import bounded, cut, lookup
 
 
-#: Most sources of a mix, whose targets are collected and stand in expressions, and most rows of all bins together.
-MOST_SOURCES, MOST_BINS = 10_000, 500_000
+#: Most sources of a mix, one row of each of which is held by the driver; more raise ValueError.
+MOST_SOURCES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Mixing:
-    """steps: most Newton steps. close: relative error of a source's tokens at which they end. bins: fineness of the
-    correction after rounding, less where there are many sources. seed: of the draws."""
+    """steps: Newton steps after which a source that is not met raises RuntimeError. close: relative error of a source's tokens
+    at which its steps end. bins: fineness of the correction after rounding. seed: of the draws."""
 
-    steps: int = 60
+    steps: int = 200
     close: float = 1e-7
     bins: int = 1024
     seed: int = 17
@@ -59,26 +60,24 @@ def _base(cap: int) -> float:
     return -math.log(cap - 1) if cap > 1 else 0.0
 
 
-def _by_source(values: dict[str, float], otherwise: float = 0.0) -> Column:
-    if not values:
-        return F.lit(otherwise)
-    pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, F.col("source")), F.lit(otherwise))
+def _rate(tokens: Column) -> Column:
+    """The rate of a document, as a share of its source's cap, from the columns base, tilt and mean of its source."""
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("base") + F.col("tilt") * tokens / F.col("mean")))))
 
 
 def tilts(counts: DataFrame, wanted: dict[str, float], caps: dict[str, int], means: dict[str, float], reachable: dict[str, float], how: Mixing) -> dict[str, float]:
-    """The tilt of each source, by distributed Newton steps over `counts` (source, n_tokens, n); infinite where the source is used up."""
+    """The tilt of each source, by distributed Newton steps over `counts` (source, n_tokens, n); infinite where the source is used up.
+    Raises RuntimeError if a source isn't met after the most steps."""
     out = {s: (math.inf if w >= reachable[s] * (1 - 1e-12) else 0.0) for s, w in wanted.items() if w > 0}
     todo = {s for s, t in out.items() if t == 0.0}
     low, high = dict.fromkeys(todo, -math.inf), dict.fromkeys(todo, math.inf)
-    cap, base, mean = _by_source({s: float(c) for s, c in caps.items()}), _by_source({s: _base(c) for s, c in caps.items()}), _by_source(means, 1.0)
-    x = F.col("n_tokens") / mean
+    weight, x = F.col("n") * F.col("n_tokens") * F.col("cap"), F.col("n_tokens") / F.col("mean")
     for _ in range(how.steps):
         if not todo:
-            break
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), base + _by_source({s: out[s] for s in todo}) * x))))
-        weight = F.col("n") * F.col("n_tokens") * cap
-        rows = counts.where(F.col("source").isin(*todo)).groupBy("source").agg(F.sum(weight * p).alias("got"), F.sum(weight * p * (1 - p) * x).alias("slope")).collect()
+            return out
+        state = lookup(counts.sparkSession, [(s, float(caps[s]), _base(caps[s]), means[s], out[s]) for s in sorted(todo)], "source string, cap double, base double, mean double, tilt double")
+        rated = counts.join(state, "source").withColumn("p", _rate(F.col("n_tokens")))
+        rows = rated.groupBy("source").agg(F.sum(weight * F.col("p")).alias("got"), F.sum(weight * F.col("p") * (1 - F.col("p")) * x).alias("slope")).collect()
         for r in rows:
             s, off = r["source"], r["got"] - wanted[r["source"]]
             if abs(off) <= how.close * wanted[s]:
@@ -89,7 +88,11 @@ def tilts(counts: DataFrame, wanted: dict[str, float], caps: dict[str, int], mea
             if not low[s] < step < high[s]:
                 a, b = low[s], high[s]
                 step = (a + b) / 2 if math.isfinite(a + b) else (2 * a + 1 if math.isfinite(a) else 2 * b - 1)
+            if step == out[s]:
+                todo.discard(s)  # the bracket is as narrow as numbers get
             out[s] = step
+    if todo:
+        raise RuntimeError(f"{len(todo)} sources are not met after {how.steps} steps")
     return out
 
 
@@ -99,59 +102,38 @@ def mixed(documents: DataFrame, targets: DataFrame, how: Mixing = Mixing()) -> t
     The mix has a row for each document used, id, source, n_tokens, copies (1 to the source's max_repeats), and in total as many
     tokens as all of `documents`, as far as caps allow; a source that can't reach its share leaves the rest to the others in
     proportion. The report has one row for each target: target_share, n_documents, source_tokens, mix_tokens, mix_share, copies_mean.
-    Documents whose source is null or has no target aren't used; targets are one row a source (a small table, which is
-    collected, at most MOST_SOURCES); null shares count as 0 and null repeats as 1.
+    Documents whose source is null or has no target aren't used; null shares count as 0 and null repeats as 1. Targets are one row a
+    source, else ValueError; the driver holds one row for each source, and no other.
     """
     spark = documents.sparkSession
-    rows = targets.limit(MOST_SOURCES + 1).collect()
+    rows = targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} targets")
-    bins = max(8, min(how.bins, MOST_BINS // max(1, len(rows))))
     shares = {r["source"]: float(r["target_share"] or 0) for r in rows if r["source"] is not None}
     caps = {r["source"]: max(int(1 if r["max_repeats"] is None else r["max_repeats"]), 0) for r in rows if r["source"] is not None}
     if len(shares) < len(rows):
         raise ValueError("targets must have one row for each source, and no null source")
     kept = documents.select("id", "source", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     total = kept.agg(F.sum("n_tokens")).first()[0] or 0
-    counts = cut(kept.where(F.col("source").isin(*shares)).groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "counts")
+    named = lookup(spark, [(s,) for s in shares], "source string")
+    counts = cut(kept.join(named, "source").groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "counts")
     sums = {r["source"]: (r["tokens"], r["n"]) for r in counts.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum("n").alias("n")).collect()}
     reachable = {s: float(caps[s] * t) for s, (t, _) in sums.items()}
     wanted = wanted_tokens(float(total), shares, reachable)
     means = {s: max(t / n, 1e-9) for s, (t, n) in sums.items()}
     tilt = tilts(counts, wanted, caps, means, reachable, how)
 
-    cap = _by_source({s: float(c) for s, c in caps.items()})
-    power = _by_source({s: _base(c) for s, c in caps.items()}) + _by_source({s: max(min(t, 1e9), -1e9) for s, t in tilt.items()}) * F.col("n_tokens") / _by_source(means, 1.0)
-    rate = F.when(_by_source({s: 1.0 for s, t in tilt.items() if math.isinf(t)}) > 0, cap).otherwise(cap / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), power)))))
+    kind = "source string, cap double, base double, mean double, tilt double, used_up boolean, wanted double"
+    state = [(s, float(caps[s]), _base(caps[s]), means[s], max(min(tilt[s], 1e9), -1e9), math.isinf(tilt[s]), w) for s, w in wanted.items() if w > 0]
     draw = F.pmod(F.xxhash64(F.lit(how.seed), "id"), F.lit(1 << 40)) / float(1 << 40)
-    rated = kept.where(F.col("source").isin(*[s for s, w in wanted.items() if w > 0])).withColumn("up", rate + draw).withColumn("cap", cap)
+    rate = F.when(F.col("used_up"), F.col("cap")).otherwise(F.col("cap") * _rate(F.col("n_tokens")))
+    rated = kept.join(lookup(spark, state, kind), "source").withColumn("up", rate + draw)
     rated = rated.withColumn("copies", F.least("cap", F.floor("up"))).withColumn("rest", F.col("up") - F.floor("up"))
-    # tokens to move in each source, and the tokens that would move for each bin of the rest
-    binned = rated.withColumn("bin", F.least(F.floor(F.col("rest") * bins), F.lit(bins - 1)))
-    per = binned.groupBy("source", "bin").agg(
-        F.sum(F.col("copies") * F.col("n_tokens")).alias("got"),
-        F.sum(F.when(F.col("copies") < F.col("cap"), F.col("n_tokens")).otherwise(0)).alias("more"),
-        F.sum(F.when(F.col("copies") > 0, F.col("n_tokens")).otherwise(0)).alias("less"),
-    )
-    up, down = {}, {}
-    got: dict[str, float] = {}
-    by_source: dict[str, list] = {}
-    for r in per.toLocalIterator():  # at most MOST_BINS rows
-        got[r["source"]] = got.get(r["source"], 0) + r["got"]
-        by_source.setdefault(r["source"], []).append((r["bin"], r["more"], r["less"]))
-    for s, found in by_source.items():
-        off = wanted[s] - got[s]
-        moved, place = 0.0, None
-        ordered = sorted(found, reverse=off > 0)
-        for b, more, less in ordered:
-            n = more if off > 0 else less
-            if moved + n / 2 > abs(off):
-                break
-            moved, place = moved + n, b
-        if place is not None:
-            (up if off > 0 else down)[s] = float(place)
-    moved = F.when(F.col("bin") >= _by_source(up, float(bins)), F.least("cap", F.col("copies") + 1)).when(F.col("bin") <= _by_source(down, -1.0), F.greatest(F.lit(0), F.col("copies") - 1)).otherwise(F.col("copies"))
-    mix = cut(binned.select("id", "source", "n_tokens", moved.cast("bigint").alias("copies")).where("copies > 0"), "mix")
+    binned = rated.withColumn("bin", F.least(F.floor(F.col("rest") * how.bins), F.lit(how.bins - 1)))
+    edges = bounded(_edges(binned), "edges")
+    more, less = F.col("bin") >= F.col("up_from"), F.col("bin") <= F.col("down_to")
+    moved = F.when(more, F.least("cap", F.col("copies") + 1)).when(less, F.greatest(F.lit(0), F.col("copies") - 1)).otherwise(F.col("copies"))
+    mix = cut(binned.join(edges, "source").select("id", "source", "n_tokens", moved.cast("bigint").alias("copies")).where("copies > 0"), "mix")
     made = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("n_copies"))
     sizes = counts.groupBy("source").agg(F.sum("n").alias("n_documents"), F.sum(F.col("n") * F.col("n_tokens")).alias("source_tokens"))
     whole = made.agg(F.sum("mix_tokens").alias("whole"))
@@ -167,3 +149,22 @@ def mixed(documents: DataFrame, targets: DataFrame, how: Mixing = Mixing()) -> t
         )
     )
     return mix, report
+
+
+def _edges(binned: DataFrame) -> DataFrame:
+    """For each source the bins of `rest` that are moved so that its tokens come nearest to what is wanted: `up_from` on, one copy more, or
+    up to `down_to`, one copy less. A source has at most as many rows here as there are bins."""
+    per = binned.groupBy("source", "bin").agg(
+        F.first("wanted").alias("wanted"),
+        F.sum(F.col("copies") * F.col("n_tokens")).alias("got"),
+        F.sum(F.when(F.col("copies") < F.col("cap"), F.col("n_tokens")).otherwise(0)).alias("more"),
+        F.sum(F.when(F.col("copies") > 0, F.col("n_tokens")).otherwise(0)).alias("less"),
+    )
+    every = Window.partitionBy("source")
+    off = F.col("wanted") - F.sum("got").over(every)
+    rows = per.withColumn("off", off).withColumn("n", F.when(F.col("off") > 0, F.col("more")).otherwise(F.col("less"))).withColumn("turn", F.when(F.col("off") > 0, -F.col("bin")).otherwise(F.col("bin")))
+    before = every.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.withColumn("middle", F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("n") / 2)
+    upto = reached.withColumn("middle", F.max("middle").over(every.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+    moves = F.col("middle") <= F.abs("off")
+    return upto.groupBy("source").agg(F.min(F.when(moves & (F.col("off") > 0), F.col("bin"))).alias("up_from"), F.max(F.when(moves & (F.col("off") <= 0), F.col("bin"))).alias("down_to"))

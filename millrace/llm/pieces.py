@@ -1,9 +1,9 @@
 """Cutting texts over a size limit into overlapping pieces at their own breaks.
 
-For what is left of a text the least possible number of pieces gives targets of equal length. Each target snaps to
-the strongest break near it, or else to the line end nearest to it in all the room the limit leaves. Where only a
-line end before that room exists, one piece more is made. A cut falls inside a line only where the line leaves no other place,
-and there at a sentence end, else at white space, else between any two code points but CR and LF.
+The least possible number of pieces places targets of equal length over the whole text. Each target snaps to the strongest break near
+it, or else to the line end nearest to it in all the room that the limit leaves. If the last piece then is over the limit, targets are placed
+again for one piece more. A cut falls inside a line only where the room holds no line end, and there at a sentence end, else at
+white space, else between any two code points but CR and LF.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from bisect import bisect_left, bisect_right
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.shared import ship
+from millrace.shared import bounded, ship
 
 #: Kinds of breaks from weak to strong.
 KINDS = ("character", "space", "sentence", "line", "block_line", "blank_line", "section")
@@ -35,7 +36,7 @@ def line_breaks(text: str) -> tuple[list[int], list[int], int]:
         start, at = m.span()
         line = start - last
         longest = max(longest, line)
-        blank = line == 0 or (line < 200 and text[last:start].isspace())
+        blank = line == 0 or (text[last].isspace() and text[last:start].isspace())
         last = at
         if at < size:
             c = text[at]
@@ -77,25 +78,29 @@ def cut_places(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
     """(start, end, kind of the break at the end) of each piece, and the length of the longest line."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
-    size, step = len(text), limit - overlap
     places, strengths, longest = line_breaks(text)
-    out, start, last = [], 0, 0
-    while size - start > limit:
-        count = -(-(size - start - overlap) // step)
-        target = start + (size - start + (count - 1) * overlap) / count
-        high, low = start + limit, max(last + 1, size - step * (count - 1))
-        near = min(limit / 8, limit / 2)
-        k = _best(places, strengths, low, high, target, near)
-        if k is None:
-            k = _best(places, strengths, max(last, start + overlap) + 1, low - 1, target, near)
-        if k is not None:
-            end, kind = places[k], strengths[k]
-        else:
-            end, kind = _inside(text, low, high, target, near)
+    count = max(1, -(-(len(text) - overlap) // (limit - overlap)))
+    while (out := _snapped(text, places, strengths, limit, overlap, count)) is None:
+        count += max(1, count >> 6)  # one by one; by a 64th where there are many
+    return out, longest
+
+
+def _snapped(text: str, places: list[int], strengths: list[int], limit: int, overlap: int, count: int) -> list[tuple[int, int, int]] | None:
+    """Pieces for `count` targets of equal length, or None if the last one is over the limit."""
+    size, out, start, last = len(text), [], 0, 0
+    for i in range(1, count):
+        target = overlap + i * (size - overlap) / count
+        low, high = max(last, start + overlap) + 1, min(start + limit, size - 1)
+        if low > high:
+            break  # the text is used up
+        aim = min(target, high)
+        k = _best(places, strengths, low, high, aim, limit / 8)
+        end, kind = (places[k], strengths[k]) if k is not None else _inside(text, low, high, aim, limit / 8)
         out.append((start, end, kind))
         start, last = end - overlap, end
-    out.append((start, size, SECTION))
-    return out, longest
+    if size - start > limit:
+        return None
+    return [*out, (start, size, SECTION)]
 
 
 PIECES = "id bigint, piece int, n_pieces int, start_pos bigint, end_pos bigint, end_kind string, longest_line bigint"
@@ -124,4 +129,28 @@ def pieces(records: DataFrame, limit: int, overlap: int, texts: bool = True) ->
     ship(records.sparkSession)
     kind_of = PIECES + (", text string" if texts else "")
     long = records.select("id", "content").where(F.length("content") > limit)
-    return long.dropDuplicates(["id"]).mapInPandas(batches, kind_of)
+    if not texts:
+        return long.mapInPandas(batches, kind_of).dropDuplicates(["id", "piece"])
+    # only texts of ids that repeat are shuffled, to be cut once
+    again = bounded(long.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    once = long.join(again, "id", "left_anti").unionByName(long.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    return once.mapInPandas(batches, kind_of)
+
+
+def broken(cut_up: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """One row for each id of rows of `pieces` with their texts: `digest`, the MD5 of the pieces put together without their overlaps, and
+    counts that are 0 where pieces are right: n_over (longer than the limit), n_apart (beginning not `overlap` before the end of the
+    one before, or sharing other text with it), n_unlike (a break named a line's that is none), n_unforced (a cut inside a line
+    although its piece holds a line end behind the overlap)."""
+    side = Window.partitionBy("id").orderBy("piece")
+    own = F.when(F.col("piece") > 0, F.substring("text", overlap + 1, limit)).otherwise(F.col("text"))
+    shared = F.substring("text", 1, overlap) == F.lag(F.expr(f"right(text, {overlap})")).over(side)
+    apart = (F.col("piece") > 0) & ((F.col("start_pos") != F.lag("end_pos").over(side) - overlap) | ((F.lit(overlap) > 0) & ~shared))
+    inside, last = F.col("end_kind").isin("character", "space", "sentence"), F.col("end_kind") == "end"
+    rows = cut_up.select("id", "piece", own.alias("own"), (F.length("text") > limit).alias("over"), F.coalesce(apart, F.lit(False)).alias("apart"), inside.alias("inside"), last.alias("last"))
+    at_end = F.col("own").rlike(r"[\r\n]\z")
+    return rows.groupBy("id").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda x: x["own"]), "").cast("binary")).alias("digest"),
+        F.count_if("over").alias("n_over"), F.count_if("apart").alias("n_apart"), F.count_if(~F.col("inside") & ~F.col("last") & ~at_end).alias("n_unlike"),
+        F.count_if(F.col("inside") & F.col("own").rlike(r"[\r\n]")).alias("n_unforced"),
+    )

@@ -77,6 +77,12 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return P.pieces(_records(spark, d), x["item_limit"], x["item_overlap"]).withColumnRenamed("id", "record_id")
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of each record, in a form that SQL knows from the record alone."""
+    x = _limits(spark, d)
+    return P.broken(P.pieces(_records(spark, d), x["item_limit"], x["item_overlap"]), x["item_limit"], x["item_overlap"]).withColumnRenamed("id", "record_id")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -108,8 +114,28 @@ def p4_slice_tokens(spark: SparkSession, d: str) -> DataFrame:
     return B.totals(_code_counts(spark, d), labels.join(repos, "repo", "left"), ["repo", "filetype", "domain_name"])
 
 
+def p4_slice_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the totals that needs no model."""
+    return p4_slice_tokens(spark, d).drop("n_tokens")
+
+
+def p4_slice_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Totals by file type and domain beside the true ones: here every text is tokenized."""
+    t = cut(_code(spark, d).dropDuplicates(["id"]), "code")
+    repos = table(spark, d, "repos").select(L.repo("repo").alias("repo"), "domain_name")
+    labels = table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), L.repo("repo").alias("repo"), L.filetype("filetype").alias("filetype")).join(repos, "repo", "left")
+    true = T.token_counts(t).withColumnRenamed("n_tokens", "true_tokens")
+    both = B.estimates(t, B.models(t)).join(true, "id").join(labels.dropDuplicates(["id"]), "id")
+    out = both.groupBy("filetype", "domain_name").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), F.sum("true_tokens").alias("true_tokens"))
+    return out.withColumn("error", F.col("n_tokens") / F.greatest("true_tokens", F.lit(1)) - 1)
+
+
+def p4_document_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return p4_document_tokens(spark, d).drop("n_tokens")
+
+
 def p4_models(spark: SparkSession, d: str) -> DataFrame:
-    return B.models(_code(spark, d)).select("label", "n_fitted", "n_held", "bias", "error")
+    return B.models(_code(spark, d)).drop("weights")
 
 
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +177,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each source of a mix: no document above its repeats, and no source under its share that could give more."""
+    mix, report = _mix(spark, d)
+    most = mix.groupBy("source").agg(F.max("copies").alias("most"), F.countDistinct("id").alias("ids"), F.count("*").alias("rows"))
+    kept = F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("ids") == F.col("rows")), F.lit(True))
+    used_up = F.col("mix_tokens") >= 0.999 * F.col("source_tokens") * F.col("max_repeats")
+    met = used_up | (F.col("mix_share") >= F.col("target_share") * 0.99 - 0.001)
+    return report.join(most, "source", "left").select("source", "n_documents", kept.alias("caps_kept"), met.alias("share_met"))
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     return V.checked(table(spark, d, "all_hybrid").select(F.col("record_id").alias("id"), "filetype", "content"))
 
@@ -184,6 +220,13 @@ _OVERLAP_SQL = f"""WITH {_runs_sql(_ALL)}, e AS (SELECT DISTINCT record_id AS id
     SELECT a, b FROM p JOIN n ON n.id = a WHERE 10 * k >= 8 * n"""
 
 
+_REPO_SQL = "nullif(regexp_replace(lower(trim(repo)), '/+$', ''), '')"
+_TYPE_SQL = "nullif(regexp_replace(lower(trim(filetype)), '^\\.', ''), '')"
+_SOURCE_SQL = "regexp_replace(nullif(lower(trim(source)), ''), '[- ]+', '_', 'g')"
+_TAG_SQL = "regexp_extract(lower(trim(lang)), '^[a-z]+')"
+_LANGUAGE_SQL = f"nullif(coalesce(map_from_entries([{', '.join(f'({k!r}, {v!r})' for k, v in L.LANGUAGES.items())}])[{_TAG_SQL}], {_TAG_SQL}), '')"
+
+
 def oracle_sql() -> dict[str, str]:
     lines = "list_max(list_transform(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), lambda x: length(x)))"
     return {
@@ -195,6 +238,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT id AS record_id, least(id, coalesce((SELECT min(b) FROM reach WHERE a = id), id)) AS group_id, coalesce(n, 0)::BIGINT AS n_links FROM words LEFT JOIN links USING (w) WHERE k >= 20""",
         "p2_found": f"SELECT record_id, CASE WHEN {lines} > 6000 THEN 'inside_line' ELSE 'line_ends' END AS cut_kind FROM (SELECT record_id, any_value(content) AS content FROM all_hybrid GROUP BY 1) WHERE length(content) > 6000",
         "p6_checks": "SELECT count(*)::BIGINT AS n_documents, count(*)::BIGINT AS n_first_pieces, 0::BIGINT AS n_over, 0::BIGINT AS n_apart, 0::BIGINT AS n_split FROM documents",
+        "p2_checks": "SELECT record_id, md5(content) AS digest, 0::BIGINT AS n_over, 0::BIGINT AS n_apart, 0::BIGINT AS n_unlike, 0::BIGINT AS n_unforced FROM (SELECT record_id, any_value(content) AS content FROM all_hybrid GROUP BY 1) WHERE length(content) > 6000",
+        "p4_slice_bytes": f"""SELECT repo, filetype, domain_name, count(*)::BIGINT AS n_texts, sum(b)::BIGINT AS n_bytes FROM (SELECT record_id, any_value(strlen(coalesce(content, ''))) AS b, any_value({_REPO_SQL}) AS repo, any_value({_TYPE_SQL}) AS filetype FROM all_hybrid GROUP BY 1)
+            LEFT JOIN (SELECT {_REPO_SQL} AS repo, domain_name FROM repos) USING (repo) GROUP BY 1, 2, 3""",
+        "p4_document_bytes": f"SELECT {_SOURCE_SQL} AS source, {_LANGUAGE_SQL} AS lang, domain_name, count(*)::BIGINT AS n_texts, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY 1, 2, 3",
+        "p7_checks": f"SELECT m.source, count(d.source)::BIGINT AS n_documents, true AS caps_kept, true AS share_met FROM mix_targets AS m LEFT JOIN (SELECT {_SOURCE_SQL} AS source FROM documents) AS d USING (source) GROUP BY 1",
         "p5_found": f"SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM ({_OVERLAP_SQL})",
         "p5_counts": f"""WITH o AS ({_OVERLAP_SQL}), t AS (SELECT DISTINCT record_id, split_name, nullif(regexp_replace(lower(trim(repo)), '/+$', ''), '') AS repo, nullif(regexp_replace(lower(trim(filetype)), '^\\.', ''), '') AS filetype
                 FROM all_hybrid WHERE split_name IN ('test', 'val')), c AS (SELECT a AS record_id, count(*) AS n FROM o GROUP BY 1)

@@ -1,8 +1,9 @@
+import hashlib
 import random
 
 import pytest
 
-from millrace.llm.pieces import cut_places, pieces
+from millrace.llm.pieces import broken, cut_places, pieces
 
 KIND = "id bigint, content string, piece int, text string, start_pos int"
 
@@ -31,6 +32,21 @@ def test_random_texts():
             assert all(text[e - 1] in "\r\n" for _, e, _ in found[:-1])
 
 
+def test_a_wide_blank_line_is_blank():
+    text = "a" * 60 + "\n" + " " * 300 + "\n" + "b" * 100
+    found, _ = cut_places(text, 400, 0)
+    assert found[0][1] == 362 and found[0][2] >= 5
+
+
+def test_targets_are_placed_over_the_whole_text():
+    lines = "".join(f"line number {k:05d} of the text\n" for k in range(3000))
+    found, _ = check(lines, 6000, 300)
+    sizes = [e - s for s, e, _ in found]
+    assert len(found) == -(-(len(lines) - 300) // 5700) and max(sizes) - min(sizes) < 800
+    found, _ = check(("x" * 5650 + "\n") * 40, 6000, 300)
+    assert all(kind > 2 for *_, kind in found) and len(found) <= 41
+
+
 def test_one_long_line_and_balance():
     found, longest = check("x" * 1000, 300, 50)
     sizes = [e - s for s, e, _ in found]
@@ -55,5 +71,8 @@ def test_pieces_of_rows(spark):
     joined = "".join(r["text"][(5 if r["piece"] else 0) :] for r in one)
     assert joined == rows[0][1] and one[-1]["end_kind"] == "end"
     assert pieces(df.limit(0), 50, 5).count() == 0
+    checked = {r["id"]: tuple(r)[1:] for r in broken(pieces(df, 50, 5), 50, 5).collect()}
+    assert checked == {i: (hashlib.md5(t.encode()).hexdigest(), 0, 0, 0, 0) for i, t in rows if t and len(t) > 50}
+    assert pieces(df, 50, 5, texts=False).count() == len(out)
     with pytest.raises(ValueError):
         cut_places("x" * 99, 10, 10)

@@ -49,10 +49,14 @@ def test_budget(spark):
     t = texts(1500, 1)
     rows = [(k, ("a", "b", None, "rare%d" % k)[k % 3 if k % 50 else 3], s, 7) for k, s in enumerate(t)] + [(5000, "a", None, 7), (5001, "a", "", 7), (0, "a", t[0], 7)]
     df = spark.createDataFrame(rows, "id bigint, language string, text string, n_tokens int")
-    how = B.Budget(fitted=150, held=150, languages=2)
+    how = B.Budget(fitted=150, held=150, tested=150)
     models = B.models(df, how)
-    labels = {r["label"]: (r["n_fitted"], r["n_held"]) for r in models.collect()}
-    assert set(labels) == {"a", "b", None} and labels[None] == (150, 150)
+    found = {r["label"]: r for r in models.collect()}
+    assert {k for k, r in found.items() if r["own"]} == {"a", "b", None} and len(found) == 33
+    assert [found[None][c] for c in ("n_fitted", "n_held", "n_tested")] == [150] * 3 and found["rare50"]["error"] is None
+    assert all(0 < found[k]["error"] < 0.1 for k in ("a", "b", None))
+    again = {r["label"]: (r["bias"], r["error"]) for r in B.models(df.repartition(7), how).collect()}
+    assert again.keys() == found.keys() and math.isclose(again["a"][0], found["a"]["bias"], rel_tol=1e-9)
     out = {r["id"]: (r["n_bytes"], r["n_tokens"]) for r in B.estimates(df, models).collect()}
     true = counter(VOCABULARY)(t)
     assert len(out) == 1502 and out[5000] == (0, 0) == out[5001]
@@ -62,6 +66,8 @@ def test_budget(spark):
     assert total.agg(F.sum("n_texts")).first()[0] == 1502 and {r["language"] for r in total.collect()} >= {"a", "b", None}
     empty = df.limit(0)
     assert B.estimates(empty, B.models(empty, how)).count() == 0
+    few = B.models(df.limit(20), how).collect()
+    assert [(r["label"], r["n_held"], r["error"]) for r in few if r["own"]] == [(None, 0, None)]
 
 
 def test_hilbert_neighbours_touch():
@@ -161,3 +167,13 @@ def test_mix(spark):
     assert none.count() == 0 and empty.count() == 4
     with pytest.raises(ValueError):
         M.mixed(df, targets.union(targets))
+    with pytest.raises(RuntimeError):
+        M.mixed(df, targets, M.Mixing(steps=1))
+
+
+def test_rounding_comes_as_near_as_one_bin(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(k, f"s{k % 40}", rng.randrange(1, 90)) for k in range(8000)], "id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([(f"s{k}", 1 / 40, 3) for k in range(40)], "source string, target_share double, max_repeats int")
+    _, report = M.mixed(df, targets)
+    assert max(abs(r["mix_share"] * 40 - 1) for r in report.collect()) < 0.01
