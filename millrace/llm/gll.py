@@ -7,13 +7,18 @@ Rules are compiled to instructions of a small nondeterministic machine. A recogn
 recursion and ambiguity are no trouble, and the work is at most cubic. Branches are pruned by one kind of lookahead.
 
 All dialects run together: a rule that no dialect's own alternative can change is compiled once and shared, and one run
-tells which of the dialects accept.
+tells which of the dialects accept. A rule without an alternative for a dialect matches nothing there.
+
+Two things save work on whole files without deciding anything. A call whose rule, by the next two kinds, can only match one token moves on at once;
+that is found by running the rule on the two kinds, and kept. And rules may be declared to be kept: where such a rule begins
+at a place whose extent is known (a bracket with its partner, a statement with its end), it can't go beyond, so that the places where it
+can end depend on these tokens alone, and are the same in every file.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Sequence
 
 _TERM, _CALL, _SPLIT, _JUMP, _RETURN = range(5)
 _WORD = re.compile(r"\s*(?:(<[\w.+-]+>)|'([^']+)'|([A-Za-z_]\w*)|([()*+?|]))")
@@ -33,8 +38,9 @@ class Kinds:
 
 
 class Grammar:
-    def __init__(self, text: str, dialects: tuple[str, ...], kinds: Kinds, sets: dict[str, tuple[str, ...]] | None = None, memory: int = 200_000) -> None:
-        """sets: names in capitals for several kinds. memory: results that `accepts` keeps, least recently used out first."""
+    def __init__(self, text: str, dialects: tuple[str, ...], kinds: Kinds, sets: dict[str, tuple[str, ...]] | None = None, kept: dict[str, int] | None = None, memory: int = 48 << 20) -> None:
+        """sets: names in capitals for several kinds. kept: rules whose results are kept, with the number of the extents they go by. memory: bytes of
+        results that are kept, about; beyond it all are forgotten."""
         self.kinds, self.dialects = kinds, dialects
         self.sets = {k: frozenset(kinds[x] for x in v) for k, v in (sets or {}).items()}
         self.rules: dict[str, list] = {}
@@ -51,14 +57,14 @@ class Grammar:
         uses = {n: _names(t) for n, t in self.trees.items()}
         while more := {n for n, u in uses.items() if n not in own and u & own}:
             own |= more
-        self.own = own
+        self.own, self.kept = own, kept or {}
+        self.memory, self.used, self.known = memory, 0, {}
         self.code: list[tuple] = []
         self.entry: dict[str, int] = {}
         for n in self.trees:
             for d in dialects if n in own else ("",):
                 self._compile_rule(n, d)
         self._link()
-        self.remembered = lru_cache(maxsize=memory)(self._accepts)
 
     # -- reading
 
@@ -110,6 +116,9 @@ class Grammar:
                 self._emit(x, d)
         elif kind == "alt":
             choices = [x for x in tree[1] if x[2] in ("", d)]
+            if not choices:
+                self.code.append((_TERM, frozenset()))
+                return None
             if len(choices) == 1:
                 return self._emit(choices[0], d)
             at = len(self.code)
@@ -137,6 +146,7 @@ class Grammar:
 
     def _link(self) -> None:
         """Lookahead sets by iteration; then a table from kind to targets for each branch and call."""
+        self.single: dict[int, dict[str, bool]] = {}
         n = len(self.code)
         ahead: list[set] = [set() for _ in range(n)]
         follow = {k: {END} for k in self.entry}
@@ -169,30 +179,48 @@ class Grammar:
                         table.setdefault(c, []).append(t)
                 self.code[ip] = (_SPLIT, table)
             elif op == _CALL:
-                self.code[ip] = (_CALL, (self.entry[x], frozenset(ahead[self.entry[x]])))
+                self.code[ip] = (_CALL, (self.entry[x], frozenset(ahead[self.entry[x]]), self.kept.get(x.split("@")[0], -1), self.single.setdefault(self.entry[x], {})))
 
     # -- recognising
 
-    def accepts(self, rule: str, tokens: str) -> frozenset[str]:
-        """As `_accepts`; what short inputs gave is kept."""
-        return self.remembered(rule, tokens) if len(tokens) <= 4096 else self._accepts(rule, tokens)
+    def accepts(self, rule: str, tokens: str, *extents: Sequence[int]) -> frozenset[str]:
+        """The dialects under which all of `tokens`, a string of kinds, derives from the rule. Each of `extents` gives for a place the end of what
+        begins there, or 0."""
+        if self.used > self.memory:
+            self.known.clear()
+            self.used = 0
+        entries = {self.entry[self._key(rule, d)]: (d if rule in self.own else "") for d in self.dialects}
+        found = self._run(entries, tokens + END, extents, 0, 0)
+        out = {entries[e] for e, ends in found.items() if len(tokens) in ends}
+        return frozenset(self.dialects) if "" in out else frozenset(out)
+
+    def _kept_ends(self, entry: int, tokens: str, extents: tuple, base: int, depth: int) -> tuple[int, ...]:
+        """Where the rule at `entry` can end, from the beginning of `tokens`."""
+        key = (entry, tokens)
+        ends = self.known.get(key)
+        if ends is None:
+            ends = tuple(self._run({entry: ""}, tokens + END, extents, base, depth)[entry])
+            self.known[key] = ends
+            self.used += 250 + 2 * len(tokens)
+        return ends
 
-    def _accepts(self, rule: str, tokens: str) -> frozenset[str]:
-        """The dialects under which all of `tokens`, a string of kinds, derives from the rule."""
-        code, size = self.code, len(tokens)
-        s = tokens + END
+    def _is_single(self, entry: int, pair: str, single: dict[str, bool]) -> bool:
+        """Whether the rule, before these two kinds, matches the first of them and can match no more."""
+        found = self._run({entry: ""}, pair if pair[1] == END else pair + END, (), 0, 0, probe=True)
+        single[pair] = out = found is not None and found[entry] == [1]
+        return out
+
+    def _run(self, entries: dict[int, str], s: str, extents: tuple, base: int, depth: int, probe: bool = False) -> dict[int, list[int]] | None:
+        """The places where each of the rules at `entries` can end, for an input that begins at place `base` of the extents; None if, for
+        a `probe`, a second token can be taken."""
+        code = self.code
         # a node: [edges, positions where it returned]; an edge: (instruction, node)
         nodes: dict[tuple[int, int], tuple[list, list]] = {}
-        roots: dict[int, str] = {}
         todo: list[tuple[int, tuple, int]] = []
         seen: set[tuple[int, int, int]] = set()
-        found: set[str] = set()
-        for d in self.dialects:
-            entry = self.entry[self._key(rule, d)]
-            if (entry, 0) not in nodes:
-                node = nodes[entry, 0] = ([], [])
-                todo.append((entry, node, 0))
-                roots[id(node)] = d if rule in self.own else ""
+        for entry in entries:
+            node = nodes[entry, 0] = ([], [])
+            todo.append((entry, node, 0))
         while todo:
             ip, node, at = todo.pop()
             while True:
@@ -200,6 +228,8 @@ class Grammar:
                 if op == _TERM:
                     if s[at] not in x:
                         break
+                    if probe and at:
+                        return None
                     at += 1
                     ip += 1
                 elif op == _SPLIT:
@@ -220,12 +250,28 @@ class Grammar:
                 elif op == _JUMP:
                     ip = x
                 elif op == _CALL:
-                    entry, first = x
+                    entry, first, kept, single = x
                     if s[at] not in first:
                         break
                     ip += 1
+                    if not probe:
+                        pair = s[at : at + 2]
+                        one = single.get(pair)
+                        if one is None and len(pair) == 2:
+                            one = self._is_single(entry, pair, single)
+                        if one:
+                            at += 1
+                            continue
                     below = nodes.get((entry, at))
                     if below is None:
+                        if kept >= 0 and extents and depth < _DEEPEST and 1 < (size := extents[kept][base + at] - base - at) <= _LONGEST and (at or depth == 0 or entry not in entries):
+                            ends = [at + k for k in self._kept_ends(entry, s[at : at + size], extents, base + at, depth + 1)]
+                            nodes[entry, at] = ([], ends)
+                            if not ends:
+                                break
+                            todo += [(ip, node, p) for p in ends[1:]]
+                            at = ends[0]
+                            continue
                         below = nodes[entry, at] = ([(ip, node)], [])
                         ip, node = entry, below
                         continue
@@ -244,8 +290,6 @@ class Grammar:
                     if at in ends:
                         break
                     ends.append(at)
-                    if at == size and id(node) in roots:
-                        found.add(roots[id(node)])
                     edges = node[0]
                     for a, b in edges[1:]:
                         key = (a, id(b), at)
@@ -259,7 +303,25 @@ class Grammar:
                     if key in seen:
                         break
                     seen.add(key)
-        return frozenset(self.dialects) if "" in found else frozenset(found)
+        return {entry: nodes[entry, 0][1] for entry in entries}
+
+
+#: Kinds of a kept stretch at most, and how deep kept stretches lie in one another; others are read where they stand.
+_LONGEST, _DEEPEST = 2048, 60
+
+
+def brackets(tokens: str, pairs: dict[str, str]) -> list[int]:
+    """For each opening bracket that has a partner the place behind it; 0 elsewhere, and everywhere behind the first wrong one."""
+    out, stack = [0] * (len(tokens) + 1), []
+    closing = set(pairs.values())
+    for k, c in enumerate(tokens):
+        if c in pairs:
+            stack.append((pairs[c], k))
+        elif c in closing:
+            if not stack or stack[-1][0] != c:
+                break
+            out[stack.pop()[1]] = k + 1
+    return out
 
 
 def _tokens(text: str) -> list[tuple[str, str]]:

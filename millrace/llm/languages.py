@@ -1,7 +1,8 @@
 """Lexers and grammars of the languages whose files are checked: Cryptol, SAWScript, Python and JSON.
 
-A lexer turns a text into strings of token kinds, with layout made explicit, in chunks that can be judged one by one: declarations,
-statements, bracketed values. Texts repeat chunks of the same kinds very often, so a recogniser keeps what it has accepted.
+A lexer turns a text into a string of token kinds, with layout made explicit by tokens of its own, and the recogniser reads the whole string;
+brackets, blocks and statements are rules of the grammars. Files repeat statements and brackets of the same kinds very often, so
+the recogniser keeps where these can end.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from millrace.llm.gll import Grammar, Kinds
+from millrace.llm.gll import Grammar, Kinds, brackets
 
 # --- Cryptol ----------------------------------------------------------------------------------------------
 
@@ -25,12 +26,12 @@ CRYPTOL_MARKS = "= : -> <- => .. ... ..< ..> | \\ ` <| |> - * ~ . ( ) [ ] { } ,
 
 CRYPTOL = Grammar(
     r"""
-script: topdecl?
-specification: param?
-header: 'module' modname 'where'
-    | 'interface' 'module' modname 'where'
-instance: 'module' modname '=' modname ('{' modargs '}' | 'where' vdecls?)
+file: ('v{' (topdecl ('v;' topdecl)*)? 'v}')?
+    | 'module' modname 'where' 'v{' (topdecl ('v;' topdecl)*)? 'v}'
+    | 'interface' 'module' modname 'where' 'v{' (param ('v;' param)*)? 'v}'
+    | 'module' modname '=' modname ('{' modargs '}' | 'where' vdecls?)
     | 'interface' 'module' modname '=' modname '{' modargs '}'
+fragment: expr | decl ('v;' decl)*
 modargs: modarg (',' modarg)*
 modarg: modname | 'interface' modname | '_' | modname '=' (modname | 'interface' modname | '_') | 'submodule' modname
 modname: 'submodule'? NAME
@@ -81,7 +82,8 @@ schema: ('{' tparams? '}')? (type '=>')* type
 type: typeinfix ('->' type)?
 typeinfix: apptype (TYPEOPS apptype)*
 apptype: NAME atype* | dims atype? | tatom
-dims: ('[' type ']')+
+dims: dim+
+dim: '[' type ']'
 atype: NAME | tatom | dims atype?
 tatom: NUMBER | CHAR | '_' | '(' ')' | '(' type (',' type)* ')' | '(' TYPEOPS ')' | '{' fields? '}'
 fields: field (',' field)*
@@ -97,12 +99,12 @@ last: ('-' | '~')* (lambda | conditional | cases)
 lambda: '\' apat+ '->' core
 conditional: 'if' core 'then' core ('|' core 'then' core)* 'else' core
 cases: <3.3> 'case' core 'of' 'v{' alternative ('v;' alternative)* 'v}'
-    | <3.0> 'case' 'case' 'case'
 alternative: pattern '->' expr
 apply: atom+
 atom: base SELECTOR*
-base: NAME | NUMBER | STRING | CHAR | '_' | '(' ')' | '(' expr (',' expr)* ')' | '(' OPERATORS ')' | '(' infix OPERATORS ')'
-    | '[' ']' | '[' list ']' | '{' '}' | '{' (fieldval (',' fieldval)*) '}' | '{' expr '|' update (',' update)* '}' | '`' tick | '<|' poly '|>'
+base: NAME | NUMBER | STRING | CHAR | '_' | group | '`' tick | '<|' poly '|>'
+group: '(' ')' | '(' expr (',' expr)* ')' | '(' OPERATORS ')' | '(' infix OPERATORS ')'
+    | '[' ']' | '[' list ']' | '{' '}' | '{' (fieldval (',' fieldval)*) '}' | '{' expr '|' update (',' update)* '}'
 tick: NAME | NUMBER | '(' type ')' | '{' tickarg (',' tickarg)* '}' | '_'
 tickarg: type | NAME '=' type
 fieldval: fieldpath apat* ('=' expr)
@@ -122,6 +124,7 @@ term: NUMBER | NAME ('^^' NUMBER)? | '(' expr ')'
     ("3.0", "3.3"),
     _CRY,
     {"OPERATORS": ("OP", "-", "*", "#", "@", "!", "^^", "<", "+"), "TYPEOPS": ("OP", "-", "*", "#", "@", "!", "^^", "<", "+")},
+    {"group": 0, "dim": 0, "topdecl": 1, "decl": 1, "param": 1, "alternative": 1},
 )
 
 _CRY_KIND = {w: _CRY[w] for w in CRYPTOL_WORDS} | {"_": _CRY["_"]}
@@ -144,10 +147,6 @@ _CRY_TOKEN = re.compile(
     re.X,
 )
 _COMMENT = re.compile(r"/\*|\*/")
-#: Runs of like items in lists: more than three are as good as three for every rule above.
-_CRY_RUN = re.compile(f"((?:[{_C_NUMBER}{_C_CHAR}{_C_STRING}],){{2}})(?:[{_C_NUMBER}{_C_CHAR}{_C_STRING}],)+".replace(",", _CRY[","]))
-
-
 def _comment_end(text: str, at: int) -> int:
     """Behind a nested comment that begins at `at`, or -1."""
     depth = 0
@@ -217,15 +216,12 @@ _CRY_EXPLICIT = {_CRY[a]: _CRY[b] for a, b in ("()", "[]", "{}")}
 _CRY_CLOSERS = set(_CRY_EXPLICIT.values())
 
 
-def cryptol_chunks(text: str, at: int = 0, end: int | None = None, top: bool = True) -> tuple[str, list[str]] | None:
-    """(header, declarations) of a file as kinds; with `top` false one chunk of an expression. None for bad tokens or layout."""
-    chunks: list[str] = []
-    now: list[str] = []
+def cryptol_kinds(text: str, at: int = 0, end: int | None = None, top: bool = True) -> str | None:
+    """A file as kinds, with the blocks that columns make; with `top` false an expression or declarations. None for bad tokens."""
+    out: list[str] = []
     stack: list[int] = []  # columns of implicit blocks, -1 for brackets
-    closers: list[str] = []
-    header = ""
     pending = started = False
-    base = 0
+    wait = False  # the block of a module opens behind its where
     for kind, place in cryptol_tokens(text, at, end):
         if kind == _C_BAD:
             return None
@@ -233,104 +229,79 @@ def cryptol_chunks(text: str, at: int = 0, end: int | None = None, top: bool = T
         column = place if first else -place - 1
         if not started:
             started = True
-            if not top:
-                base = -1
-            elif kind in (_CRY["module"], _CRY["interface"]):
-                base = 1  # the block opens behind the header's where
-            else:
+            wait = top and kind in (_CRY["module"], _CRY["interface"])
+            if top and not wait:
+                out.append(_C_OPEN)
                 stack.append(column)
+                first = False
         if pending:
             pending = False
-            if base == 1 and not stack and top:
-                header, now = "".join(now), []
+            outer = -1 if not stack or stack[-1] == -1 else next((c for c in reversed(stack) if c >= 0), -1)
+            if kind == _CRY["{"] and stack:
+                pass
+            elif column > outer or (wait and not stack):
+                out.append(_C_OPEN)
                 stack.append(column)
                 first = False
-            elif kind == _CRY["{"]:
-                pass
             else:
-                outer = next((c for c in reversed(stack) if c >= 0), -1)
-                if stack and stack[-1] == -1:
-                    outer = -1
-                now.append(_C_OPEN)
-                if column <= outer:
-                    now.append(_C_CLOSE)
-                else:
-                    stack.append(column)
-                    first = False
+                out += (_C_OPEN, _C_CLOSE)
         if first and stack:
             while stack and stack[-1] > column:
-                if len(stack) == 1 and top:
-                    return None  # left of the module's block
                 stack.pop()
-                now.append(_C_CLOSE)
+                out.append(_C_CLOSE)
             if stack and stack[-1] == column:
-                if len(stack) == 1 and top:
-                    if now:
-                        chunks.append("".join(now))
-                        now = []
-                else:
-                    now.append(_C_SEMI)
+                out.append(_C_SEMI)
         if kind in _CRY_EXPLICIT:
             stack.append(-1)
-            closers.append(_CRY_EXPLICIT[kind])
-        elif kind in _CRY_CLOSERS:
-            while stack and stack[-1] >= 0 and -1 in stack:
-                stack.pop()
-                now.append(_C_CLOSE)
-            if not closers or closers.pop() != kind:
-                return None
-            stack.pop()
-        elif kind == _CRY[","] and closers:
-            while stack[-1] >= 0:
-                stack.pop()
-                now.append(_C_CLOSE)
-        now.append(kind)
+        elif kind in _CRY_CLOSERS or kind == _CRY[","]:
+            if -1 in stack:
+                while stack[-1] >= 0:
+                    stack.pop()
+                    out.append(_C_CLOSE)
+                if kind != _CRY[","]:
+                    stack.pop()
+        out.append(kind)
         pending = kind in _C_LAYOUT
-    if closers:
-        return None
-    if not started:
-        return "", []
-    if base == 1 and not stack and top:
-        return ("".join(now), []) if now else None
     if pending:
-        now += [_C_OPEN, _C_CLOSE]
-    now += [_C_CLOSE for _ in range(len(stack) - (1 if top else 0))]
-    if now:
-        chunks.append("".join(now))
-    return header, chunks
+        out += (_C_OPEN, _C_CLOSE)
+    out += [_C_CLOSE for c in stack if c >= 0]
+    return "".join(out)
 
 
-def _shorter(pattern: re.Pattern, chunk: str) -> str:
-    return pattern.sub(r"\1", chunk) if len(chunk) > 24 else chunk
+_CRY_PAIRS = _CRY_EXPLICIT | {_C_OPEN: _C_CLOSE}
 
 
-_C_IMPORT_ONLY = frozenset(CRYPTOL.dialects)
+def _cryptol_extents(kinds: str) -> tuple[list[int], list[int]]:
+    """Of brackets, and of the entries of blocks from one layout mark to the next of the same block."""
+    pairs = brackets(kinds, _CRY_PAIRS)
+    entries = [0] * (len(kinds) + 1)
+    stack: list[int] = []
+    for k, c in enumerate(kinds):
+        if c in _CRY_PAIRS:
+            stack.append(k + 1 if c == _C_OPEN else -1)
+        elif c in _CRY_CLOSERS or c == _C_CLOSE or c == _C_SEMI:
+            if not stack:
+                break
+            if stack[-1] >= 0 and (c == _C_CLOSE or c == _C_SEMI):
+                entries[stack[-1]] = k
+            if c == _C_SEMI:
+                if stack[-1] >= 0:
+                    stack[-1] = k + 1
+            else:
+                stack.pop()
+    return pairs, entries
 
 
 def cryptol(text: str) -> frozenset[str]:
     """The dialects under which a text is a file: a module, an instance of one, or declarations without a header."""
-    found = cryptol_chunks(text)
-    if found is None:
-        return frozenset()
-    header, chunks = found
-    out = frozenset(CRYPTOL.dialects)
-    if header:
-        out = CRYPTOL.accepts("header", header) if chunks or header[-1] == _CRY["where"] else CRYPTOL.accepts("instance", header)
-    rule = "specification" if header[:1] == _CRY["interface"] else "script"
-    for c in chunks:
-        if not out:
-            break
-        out &= CRYPTOL.accepts(rule, _shorter(_CRY_RUN, c))
-    return out
+    kinds = cryptol_kinds(text)
+    return frozenset() if kinds is None else CRYPTOL.accepts("file", kinds, *_cryptol_extents(kinds))
 
 
 def cryptol_fragment(text: str, at: int, end: int) -> bool:
     """Whether a piece of a text is an expression or declarations (as in a script's quotes)."""
-    found = cryptol_chunks(text, at, end, top=False)
-    if found is None or not found[1]:
-        return False
-    chunk = _shorter(_CRY_RUN, found[1][0])
-    return bool(CRYPTOL.accepts("expr", chunk)) or bool(CRYPTOL.accepts("decl", chunk))
+    kinds = cryptol_kinds(text, at, end, top=False)
+    return bool(kinds) and bool(CRYPTOL.accepts("fragment", kinds, *_cryptol_extents(kinds)))
 
 
 # --- SAWScript --------------------------------------------------------------------------------------------
@@ -339,7 +310,7 @@ _SAW = Kinds()
 SAW_WORDS = "import and let rec in do if then else as hiding typedef include".split()
 SAWSCRIPT = Grammar(
     r"""
-statement: stmt ';'
+file: (stmt ';')*
 stmt: <1.3> 'include' STRING
     | <1.0> 'include' expr
     | expr
@@ -359,7 +330,9 @@ expr: apply (':' type)?
     | 'if' expr 'then' expr 'else' expr
 apply: atom+
 atom: base ('.' (NAME | NUMBER))*
-base: '(' ')' | '[' ']' | STRING | CODE | CTYPE | NUMBER | NAME | '(' expr (',' expr)* ')' | '[' expr (',' expr)* ']' | '{' (field (',' field)*)? '}' | 'do' '{' (stmt ';')* '}'
+base: STRING | CODE | CTYPE | NUMBER | NAME | group | 'do' block
+group: '(' ')' | '[' ']' | '(' expr (',' expr)* ')' | '[' expr (',' expr)* ']' | '{' (field (',' field)*)? '}'
+block: '{' (stmt ';')* '}'
 field: NAME '=' expr
 type: typeapp ('->' type)?
 typeapp: typeatom+
@@ -368,6 +341,7 @@ fieldtype: NAME ':' type
 """,
     ("1.0", "1.3"),
     _SAW,
+    kept={"group": 0, "block": 0, "stmt": 1},
 )
 _SAW_KIND = {w: _SAW[w] for w in SAW_WORDS}
 _SAW_OP = {w: _SAW[w] for w in ("<-", "->", "=", ";", ":", "\\", ".", ",", "(", ")", "[", "]", "{", "}")}
@@ -382,85 +356,105 @@ _SAW_TOKEN = re.compile(
     re.X | re.S,
 )
 _CODE_MARK = re.compile(r"\{\{|\}\}")
-_code_seen: dict[str, bool] = {}
+_SAW_PAIRS = {_SAW[a]: _SAW[b] for a, b in ("()", "[]", "{}")}
+_SAW_CLOSERS = set(_SAW_PAIRS.values())
+_S_SEMI, _S_BREAK = _SAW[";"], _SAW["break"]
+#: Kinds that can begin a statement, and those behind which a statement goes on, whatever the next line begins with.
+_S_BEGINS = {_S_NAME, *(_SAW[w] for w in ("import", "let", "rec", "include", "typedef"))}
+_S_GOES_ON = {_SAW[w] for w in ("=", "<-", "->", ":", "\\", ",", ".", "and", "in", "then", "else", "if", "do", "let", "rec", "as", "hiding", "import", "include", "typedef")}
 
 
-def saw_chunks(text: str) -> list[str] | None:
-    """The top statements as kinds, each with its semicolon; None for bad tokens or code."""
+def saw_kinds(text: str) -> str | None:
+    """A script as kinds; None for bad tokens or code. A name in a line's first column where the statement at hand began begins the next
+    statement, so that a mark that no rule takes stands before it where no semicolon does."""
     out: list[str] = []
-    now: list[str] = []
-    depth = 0
+    begun: list[int] = [-1]  # column of the statement at hand in each open block, -1 before its first token
+    opened: list[str] = []
+    line, first = 0, True
     scan = _SAW_TOKEN.scanner(text)
-    semi, opening, closing = _SAW[";"], {_SAW[c] for c in "([{"}, {_SAW[c] for c in ")]}"}
     while m := scan.match():
         k = m.lastindex
+        if k == 9:
+            break
+        start = m.start(k)
+        gap = text.rfind("\n", m.start(), start)
+        if gap >= 0:
+            line, first = gap + 1, True
         if k == 1:
             continue
         if k == 2:
-            behind = _comment_end(text, m.start(2))
+            behind = _comment_end(text, start)
             if behind < 0:
                 return None
+            gap = text.rfind("\n", start, behind)
+            if gap >= 0:
+                line, first = gap + 1, True
             scan = _SAW_TOKEN.scanner(text, behind)
             continue
         if k == 3:
-            start, level, behind = m.end(), 1, -1
-            for x in _CODE_MARK.finditer(text, start):
+            at, level, behind = m.end(), 1, -1
+            for x in _CODE_MARK.finditer(text, at):
                 level += 1 if x[0] == "{{" else -1
                 if not level:
                     behind = x.start()
                     break
-            if behind < 0 or not cryptol_fragment(text, start, behind):
+            if behind < 0 or not cryptol_fragment(text, at, behind):
                 return None
-            now.append(_S_CODE)
+            kind = _S_CODE
             scan = _SAW_TOKEN.scanner(text, behind + 2)
-            continue
-        if k == 4:
+        elif k == 4:
             behind = text.find("|}", m.end())
             if behind < 0:
                 return None
-            now.append(_S_CTYPE)
+            kind = _S_CTYPE
             scan = _SAW_TOKEN.scanner(text, behind + 2)
-            continue
-        if k == 5:
-            now.append(_SAW_KIND.get(m[5], _S_NAME))
+        elif k == 5:
+            kind = _SAW_KIND.get(m[5], _S_NAME)
         elif k == 6:
-            now.append(_S_STRING)
+            kind = _S_STRING
         elif k == 7:
             kind = _SAW_OP[m[7]]
-            now.append(kind)
-            if kind == semi:
-                if depth == 0:
-                    out.append("".join(now))
-                    now = []
-            elif kind in opening:
-                depth += 1
-            elif kind in closing:
-                depth -= 1
-                if depth < 0:
-                    return None
         elif k == 8:
-            now.append(_S_NUMBER)
-        elif k == 9:
-            break
+            kind = _S_NUMBER
         else:
             return None
-    if depth:
-        return None
-    if now:
-        out.append("".join(now))
-    return out
+        if begun[-1] < 0:
+            begun[-1] = start - line
+        elif first and start - line <= begun[-1] and kind in _S_BEGINS and out[-1] not in _S_GOES_ON and (not opened or opened[-1] == "do"):
+            out.append(_S_BREAK)
+        if kind in _SAW_PAIRS:
+            opened.append("do" if out and out[-1] == _SAW["do"] else "")
+            begun.append(-1)
+        elif kind in _SAW_CLOSERS and opened:
+            opened.pop()
+            begun.pop()
+        elif kind == _S_SEMI:
+            begun[-1] = -1
+        out.append(kind)
+        first = False
+        if k in (3, 4):
+            gap = text.rfind("\n", start, behind)
+            line = gap + 1 if gap >= 0 else line
+    return "".join(out)
 
 
 def sawscript(text: str) -> frozenset[str]:
-    chunks = saw_chunks(text)
-    if chunks is None:
+    kinds = saw_kinds(text)
+    if kinds is None:
         return frozenset()
-    out = frozenset(SAWSCRIPT.dialects)
-    for c in chunks:
-        if not out:
-            break
-        out &= SAWSCRIPT.accepts("statement", c)
-    return out
+    statements = [0] * (len(kinds) + 1)
+    stack = [0]
+    for k, c in enumerate(kinds):
+        if c in _SAW_PAIRS:
+            stack.append(k + 1)
+        elif c in _SAW_CLOSERS:
+            if len(stack) == 1:
+                break
+            stack.pop()
+        elif c == _S_SEMI:
+            statements[stack[-1]] = k
+            stack[-1] = k + 1
+    return SAWSCRIPT.accepts("file", kinds, brackets(kinds, _SAW_PAIRS), statements)
 
 
 # --- JSON -------------------------------------------------------------------------------------------------
@@ -468,48 +462,38 @@ def sawscript(text: str) -> frozenset[str]:
 _JSON = Kinds()
 JSON = Grammar(
     """
-value: VALUE | STRING
-array: '[' (value (',' value)*)? ']'
-object: '{' (STRING ':' value (',' STRING ':' value)*)? '}'
+file: value
+value: VALUE | STRING | group
+group: '[' ']' | '[' value (',' value)* ']' | '{' '}' | '{' STRING ':' value (',' STRING ':' value)* '}'
 """,
     ("8259",),
     _JSON,
+    kept={"group": 0},
 )
 _J_VALUE, _J_STRING = _JSON["VALUE"], _JSON["STRING"]
 _JSON_OP = {c: _JSON[c] for c in "[]{},:"}
 _JSON_TOKEN = re.compile(
     r"""[ \t\r\n]*+(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|([\[\]{},:])|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(\Z)|(.))""", re.S | re.A
 )
-_J = {k: re.escape(v) for k, v in _JSON.of.items()}
-_JSON_PAIR = f"{_J['STRING']}{_J[':']}(?:{_J['VALUE']}|{_J['STRING']}){_J[',']}"
-_JSON_RUN = re.compile(f"((?:(?:{_J['VALUE']}|{_J['STRING']}){_J[',']}){{2}})(?:(?:{_J['VALUE']}|{_J['STRING']}){_J[',']})+|((?:{_JSON_PAIR}){{2}})(?:{_JSON_PAIR})+")
+_JSON_PAIRS = {_JSON[a]: _JSON[b] for a, b in ("[]", "{}")}
 
 
 def json_value(text: str) -> frozenset[str]:
-    """Innermost arrays and objects are judged first and then stand as values."""
-    stack: list[list[str]] = [[]]
+    out: list[str] = []
     for m in _JSON_TOKEN.finditer(text):
         k = m.lastindex
         if k == 1:
-            stack[-1].append(_J_STRING)
+            out.append(_J_STRING)
         elif k == 2:
-            c = m[2]
-            if c in "[{":
-                stack.append([_JSON_OP[c]])
-            elif c in "]}":
-                part = "".join((*stack.pop(), _JSON_OP[c]))
-                if not stack or not JSON.accepts("array" if c == "]" else "object", _JSON_RUN.sub(lambda r: r[1] or r[2], part)):
-                    return frozenset()
-                stack[-1].append(_J_VALUE)
-            else:
-                stack[-1].append(_JSON_OP[c])
+            out.append(_JSON_OP[m[2]])
         elif k == 3:
-            stack[-1].append(_J_VALUE)
+            out.append(_J_VALUE)
         elif k == 5:
             return frozenset()
         else:
             break
-    return JSON.accepts("value", "".join(stack[0])) if len(stack) == 1 else frozenset()
+    kinds = "".join(out)
+    return JSON.accepts("file", kinds, brackets(kinds, _JSON_PAIRS))
 
 
 # --- Python -----------------------------------------------------------------------------------------------
@@ -518,10 +502,11 @@ _PY = Kinds()
 PYTHON_WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 PYTHON_SOFT = ("match", "case", "type", "_")
 PYTHON_AUGMENTED = "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split()
-PYTHON_MARKS = "( ) [ ] { } , : ; . = -> := ... @ + - * / // % ** << >> & | ^ ~ < > <= >= == != ! NL BLOCK CASES".split()
+PYTHON_MARKS = "( ) [ ] { } , : ; . = -> := ... @ + - * / // % ** << >> & | ^ ~ < > <= >= == != ! NL IN OUT".split()
 PYTHON = Grammar(
     r"""
-line: statement
+file: statement*
+field: (starred | yielding) '='? ('!' ID)?
 casesline: 'case' patterns ('if' named)? ':' suite
 statement: simple (';' simple)* ';'? 'NL' | compound
 simple: starred | (targets '=')+ (starred | yielding) | single AUGMENTED (starred | yielding) | single ':' expr ('=' (starred | yielding))?
@@ -534,8 +519,8 @@ nameas: ID ('as' ID)?
 dotted: ID ('.' ID)*
 dottedas: dotted ('as' ID)?
 yielding: 'yield' ('from' expr | starred?)
-compound: ('@' named 'NL')* ('async'? function | class) | if | while | 'async'? (for | with) | try | <3.13> 'match' subject ':' 'NL' 'CASES'
-suite: 'NL' 'BLOCK' | simple (';' simple)* ';'? 'NL'
+compound: ('@' named 'NL')* ('async'? function | class) | if | while | 'async'? (for | with) | try | <3.13> 'match' subject ':' 'NL' 'IN' casesline+ 'OUT'
+suite: 'NL' 'IN' statement+ 'OUT' | simple (';' simple)* ';'? 'NL'
 if: 'if' named ':' suite ('elif' named ':' suite)* else?
 else: 'else' ':' suite
 while: 'while' named ':' suite else?
@@ -547,11 +532,12 @@ except: 'except' (expr ('as' ID)?)? ':' suite | <3.13> 'except' '*' expr ('as' I
 finally: 'finally' ':' suite
 function: 'def' ID typeparams? '(' params? ')' ('->' expr)? ':' suite
 class: 'class' ID typeparams? ('(' args? ')')? ':' suite
-typeparams: <3.13> '[' typeparam (',' typeparam)* ','? ']' | <3.8> 'class' 'class'
+typeparams: <3.13> '[' typeparam (',' typeparam)* ','? ']'
 typeparam: ID (':' expr)? ('=' expr)? | '*' ID ('=' expr)? | '**' ID ('=' expr)?
 params: (positional (',' keywords)? | keywords) ','?
 positional: plain (',' plain)* (',' '/' (',' plain)*)? (',' preset (',' preset)*)? | plain (',' plain)* (',' preset (',' preset)*) ',' '/' (',' preset)* | preset (',' preset)* (',' '/' (',' preset)*)?
-keywords: '*' plain (',' (plain | preset))* (',' '**' plain)? | '*' (',' (plain | preset))+ (',' '**' plain)? | '**' plain
+keywords: '*' rest (',' (plain | preset))* (',' '**' plain)? | '*' (',' (plain | preset))+ (',' '**' plain)? | '**' plain
+rest: plain | <3.13> ID ':' '*' binary
 plain: ID (':' expr)?
 preset: plain '=' expr
 lparams: (lpositional (',' lkeywords)? | lkeywords) ','?
@@ -564,7 +550,7 @@ target: ID | member | '(' targets? ')' | '[' targets? ']'
 single: ID | member | '(' single ')'
 deltargets: deltarget (',' deltarget)* ','?
 deltarget: ID | member | '(' deltargets? ')' | '[' deltargets? ']'
-member: head trailer* ('.' ID | '[' slices ']')
+member: head trailer* ('.' ID | index)
 starred: starexpr (',' starexpr)* ','?
 starexpr: '*' binary | expr
 starnamed: '*' binary | named
@@ -578,11 +564,15 @@ compare: COMPARE | 'in' | 'not' 'in' | 'is' 'not'?
 binary: unary (BINARY unary)*
 unary: ('+' | '-' | '~')* 'await'? primary ('**' unary)?
 primary: head trailer*
-head: ID | NUMBER | strings | CONSTANT | '...' | '(' ')' | '(' yielding ')' | '(' named ')' | '(' starnamed ',' namedlist? ')' | '(' named comp+ ')'
+head: ID | NUMBER | strings | CONSTANT | '...' | group
+group: '(' ')' | '(' yielding ')' | '(' named ')' | '(' starnamed ',' namedlist? ')' | '(' named comp+ ')'
     | '[' ']' | '[' namedlist ']' | '[' named comp+ ']' | '{' '}' | '{' namedlist '}' | '{' named comp+ '}' | '{' pair (',' pair)* ','? '}' | '{' expr ':' expr comp+ '}'
-strings: STRING+ | BYTES+
+strings: (STRING | FSTRING)+ | BYTES+
+plainstrings: STRING+ | BYTES+
 pair: expr ':' expr | '**' binary
-trailer: '.' ID | '(' args? ')' | '[' slices ']'
+trailer: '.' ID | call | index
+call: '(' args? ')'
+index: '[' slices ']'
 slices: slice (',' slice)* ','?
 slice: named | expr? ':' expr? (':' expr?)? | <3.13> '*' binary
 comp: 'async'? 'for' targets 'in' disjunction ('if' condition)*
@@ -596,88 +586,111 @@ patterns: openpattern (',' openpattern)* ','?
 openpattern: '*' ID | aspattern
 aspattern: orpattern ('as' ID)?
 orpattern: closed ('|' closed)*
-closed: '-'? NUMBER (('+' | '-') NUMBER)? | strings | CONSTANT | ID | ID ('.' ID)+ | '(' patterns? ')' | '[' patterns? ']' | '{' (mappair (',' mappair)* ','?)? '}' | ID ('.' ID)* '(' (classarg (',' classarg)* ','?)? ')'
-mappair: (strings | '-'? NUMBER | CONSTANT | ID ('.' ID)+) ':' aspattern | '**' ID
+closed: '-'? NUMBER (('+' | '-') NUMBER)? | plainstrings | CONSTANT | ID | ID ('.' ID)+ | '(' patterns? ')' | '[' patterns? ']' | '{' (mappair (',' mappair)* ','?)? '}' | ID ('.' ID)* '(' (classarg (',' classarg)* ','?)? ')'
+mappair: (plainstrings | '-'? NUMBER (('+' | '-') NUMBER)? | CONSTANT | ID ('.' ID)+) ':' aspattern | '**' ID
 classarg: aspattern | ID '=' aspattern
 """,
     ("3.8", "3.13"),
     _PY,
     {"ID": ("NAME", *PYTHON_SOFT), "CONSTANT": ("True", "False", "None"), "AUGMENTED": tuple(PYTHON_AUGMENTED), "COMPARE": ("<", ">", "<=", ">=", "==", "!="), "BINARY": tuple("+ - * / // % @ << >> & | ^".split())},
+    {"group": 0, "call": 0, "index": 0, "statement": 1, "casesline": 1},
 )
 _PY_KIND = {w: _PY[w] for w in (*PYTHON_WORDS, *PYTHON_SOFT)}
 _PY_OP = {w: _PY[w] for w in (*PYTHON_MARKS, *PYTHON_AUGMENTED)}
-_P_NAME, _P_NUMBER, _P_STRING, _P_NL, _P_BLOCK, _P_CASES, _P_BYTES = (_PY[x] for x in ("NAME", "NUMBER", "STRING", "NL", "BLOCK", "CASES", "BYTES"))
-_P_IN, _P_OUT = _PY["indent"], _PY["dedent"]
-_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
+_P_NAME, _P_NUMBER, _P_STRING, _P_NL, _P_FSTRING, _P_BYTES, _P_IN, _P_OUT = (_PY[x] for x in ("NAME", "NUMBER", "STRING", "NL", "FSTRING", "BYTES", "IN", "OUT"))
+_PREFIX = r"(?:[rR][bB]?|[bB][rR]?|[uU])?"
 _PY_TOKEN = re.compile(
-    rf"""[ \t\f]*+(?:(\r\n|\r|\n)|(\#[^\r\n]*)|(\\(?:\r\n|\r|\n))
+    rf"""[ \t\f]*+(?:(\r\n|\r|\n)|(\#[^\r\n]*)|(\\(?:\r\n|\r|\n))|((?:[fF][rR]?|[rR][fF])(?:\"\"\"|'''|"|'))
     |({_PREFIX}(?:\"\"\"(?:[^\\]|\\(?:.|\n))*?\"\"\"|'''(?:[^\\]|\\(?:.|\n))*?'''|"(?:[^"\\\r\n]|\\(?:\r\n|.|\n))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.|\n))*'))
-    |([^\W\d]\w*)
+    |((?:[^\W\d]|[^\x00-\x7f])(?:\w|[^\x00-\x7f])*)
     |((?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w]))
     |(\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|\*\*|//|<<|>>|<=|>=|==|!=|[()\[\]{{}},:;.=@+\-*/%&|^~<>])
     |(\Z)|(.))""",
     re.X | re.S,
 )
 _LEADING_ZERO = re.compile(r"0[\d_]*[1-9][\d_]*$")
-_P_AT, _P_BLOCKS = _PY["@"], _P_BLOCK + _P_CASES
-_P_ENDS = frozenset((_P_NL, _P_BLOCK, _P_CASES))
-_PY_RUN = re.compile(f"((?:{_P_NUMBER},){{2}})(?:{_P_NUMBER},)+|((?:{_P_STRING},){{2}})(?:{_P_STRING},)+".replace(",", _PY[","]))
+_PY_PAIRS = {_PY[a]: _PY[b] for a, b in ("()", "[]", "{}")}
 _PY_CLAUSES = {_PY[w] for w in ("elif", "else", "except", "finally")}
-_FIELD = re.compile(r"\{\{|\}\}|\{|\}")
+#: What matters in the text of a formatted string.
+_LITERAL = re.compile(r"\\(?:\r\n|.)|\{\{|\}\}|[{}]|\r\n|[\r\n]|\"\"\"|'''|[\"']", re.S)
+_ESCAPES = re.compile(r"\\(?:(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|[^xuUN])|(N\{[^}]*\})|(.))", re.S)
+
+
+def _escapes(body: str, bytes_: bool) -> bool:
+    """Whether the escapes of a literal are complete and their names known."""
+    for m in _ESCAPES.finditer(body):
+        if bytes_:
+            if m[0][1] == "x" and not m[1]:
+                return False
+        elif m[3] or (m[2] and not _character(m[2][2:-1])):
+            return False
+    return True
 
 
-def _fields_parse(literal: str, depth: int = 0) -> bool:
-    """Whether the replacement fields of a formatted string are expressions."""
-    quote = re.search(r"\"\"\"|'''|\"|'", literal)
-    body = literal[quote.end() : -len(quote[0])] if depth == 0 else literal
-    at = 0
-    while m := _FIELD.search(body, at):
-        at = m.end()
-        if m[0] in ("{{", "}}"):
-            continue
-        if m[0] == "}":
-            return False
-        level, end, spec, k = 0, -1, -1, at
-        quoted = ""
-        while k < len(body):
-            c = body[k]
-            if quoted:
-                if c == quoted:
-                    quoted = ""
-            elif c in "\"'":
-                quoted = c
-            elif c in "([{":
-                level += 1
-            elif c == "}" and level == 0:
-                end = k
-                break
-            elif c in ")]}":
-                level -= 1
-            elif level == 0 and spec < 0 and (c == ":" and body[k + 1 : k + 2] != "=" or c == "!" and body[k + 1 : k + 2] != "="):
-                spec = k
-                level = 0
-                if c == ":":
-                    depth_in = 0
-                    while k + 1 < len(body) and (body[k + 1] != "}" or depth_in):
-                        depth_in += {"{": 1, "}": -1}.get(body[k + 1], 0)
-                        k += 1
-            k += 1
-        if end < 0:
-            return False
-        inner = body[at : spec if spec >= 0 else end].strip()
-        inner = re.sub(r"(?<![=!<>])=\s*$", "", inner)
-        kinds = python_kinds("(" + inner + ")\n")
-        if not inner or kinds is None or not PYTHON.accepts("line", kinds):
-            return False
-        at = end + 1
+def _character(name: str) -> bool:
+    try:
+        unicodedata.lookup(name)
+    except KeyError:
+        return False
     return True
 
 
-def python_kinds(text: str) -> str | None:
-    """The tokens of a module as kinds with line ends, indents and dedents; None for bad tokens or indentation."""
+def _formatted(text: str, at: int, quote: str, raw: bool, depth: int, spec: bool = False) -> int:
+    """The place behind a formatted string whose text begins at `at`, or, with `spec`, that of the brace which ends a format
+    specification; -1 if it isn't one."""
+    if depth > 100:
+        return -1
+    start = at
+    while m := _LITERAL.search(text, at):
+        c = m[0]
+        if c[0] == "\\":
+            at = m.start() + 1 if c[1:] in ("{", "}") else m.end()
+            if c[1:] == "N" and not raw and text[at : at + 1] == "{":
+                at = text.find("}", at) + 1
+                if not at:
+                    return -1
+            continue
+        if c == "{{" and not spec or c == "}}" and not spec:
+            at = m.end()
+        elif c[0] in "\r\n":
+            if len(quote) == 1:
+                return -1
+            at = m.end()
+        elif c[0] == "}":
+            return m.start() if spec and (raw or _escapes(text[start : m.start()], False)) else -1
+        elif c[0] == "{":
+            if not raw and not _escapes(text[start : m.start()], False):
+                return -1
+            at = start = _field(text, m.start() + 1, quote, raw, depth)
+            if at < 0:
+                return -1
+        elif c == quote or (c[0] == quote[0] and len(c) > len(quote)):
+            end = m.start() + len(quote)
+            return end if not spec and (raw or _escapes(text[start : m.start()], False)) else -1
+        else:
+            at = m.end() if len(c) < 3 or c[0] != quote[0] else m.start() + 1
+    return -1
+
+
+def _field(text: str, at: int, quote: str, raw: bool, depth: int) -> int:
+    """The place behind a replacement field whose expression begins at `at`, or -1."""
+    found = _python_kinds(text, at, depth + 1)
+    if found is None:
+        return -1
+    kinds, at = found
+    if not PYTHON.accepts("field", kinds, *_python_extents(kinds)):
+        return -1
+    if text[at] == ":":
+        at = _formatted(text, at + 1, quote, raw, depth + 1, spec=True)
+    return at + 1 if at >= 0 else -1
+
+
+def _python_kinds(text: str, at: int, field: int) -> tuple[str, int] | None:
+    """The tokens of a module as kinds with line ends, indents and dedents, and where they end; with `field` the depth of a replacement field,
+    those up to its end or its format specification. None for bad tokens or indentation."""
     out: list[str] = []
-    stack, depth, first, closers = [(0, 0)], 0, True, []
-    scan = _PY_TOKEN.scanner(text)
+    stack, depth, first, line = [(0, 0)], int(field > 0), not field, at
+    scan = _PY_TOKEN.scanner(text, at)
     add = out.append
     while m := scan.match():
         k = m.lastindex
@@ -685,21 +698,20 @@ def python_kinds(text: str) -> str | None:
             if not depth and not first:
                 add(_P_NL)
                 first = True
+            line = m.end()
             continue
         if k == 2 or k == 3:
-            if k == 3 and m.end() >= len(text):
-                return None
+            if k == 3:
+                if m.end() >= len(text):
+                    return None
+                line = m.end()
             continue
-        if k == 8:
+        if k == 9:
             break
         if first and not depth:
             first = False
-            line = max(text.rfind("\n", 0, m.start(k)), text.rfind("\r", 0, m.start(k))) + 1
             blank = text[line : m.start(k)]
-            if blank and blank.strip(" \t\f") == "":
-                blank = blank[blank.rfind("\f") + 1 :]
-            else:
-                blank = blank if not blank.strip(" \t\f") else ""
+            blank = blank[blank.rfind("\f") + 1 :]
             wide, narrow = len(blank.expandtabs(8)), len(blank.expandtabs(1))
             if (wide, narrow) != stack[-1]:
                 if wide > stack[-1][0] and narrow > stack[-1][1]:
@@ -713,93 +725,79 @@ def python_kinds(text: str) -> str | None:
                         return None
                 else:
                     return None
-        if k == 5:
-            add(_PY_KIND.get(m[5], _P_NAME))
-        elif k == 7:
-            x = m[7]
+        if k == 6:
+            if not m[6].isascii() and not m[6].isidentifier():
+                return None
+            add(_PY_KIND.get(m[6], _P_NAME))
+        elif k == 8:
+            x = m[8]
+            if field and depth == 1 and (x == "}" or x[0] == ":"):
+                return "".join(out), m.start(8)
             add(_PY_OP[x])
             if x in "([{":
                 depth += 1
-                closers.append(")" if x == "(" else "]" if x == "[" else "}")
-            elif x in ")]}":
-                if not closers or closers.pop() != x:
-                    return None
+            elif x in ")]}" and depth:
                 depth -= 1
-        elif k == 4:
-            s = m[4]
+        elif k == 5:
+            s = m[5]
             prefix = s[:2].lower().split('"')[0].split("'")[0]
-            if "f" in prefix and not _fields_parse(s):
-                return None
-            if "b" in prefix and not s.isascii():
+            if "b" in prefix and not s.isascii() or "r" not in prefix and not _escapes(s, "b" in prefix):
                 return None
             add(_P_BYTES if "b" in prefix else _P_STRING)
-        elif k == 6:
-            if _LEADING_ZERO.match(m[6]):
+        elif k == 4:
+            prefix = m[4].rstrip("\"'")
+            end = _formatted(text, m.end(), m[4][len(prefix) :], len(prefix) > 1, field)
+            if end < 0:
+                return None
+            add(_P_FSTRING)
+            scan = _PY_TOKEN.scanner(text, end)
+        elif k == 7:
+            if _LEADING_ZERO.match(m[7]):
                 return None
             add(_P_NUMBER)
+        elif field and depth == 1 and m[10] == "!":
+            add(_PY["!"])
         else:
             return None
-    if depth:
+    if field or depth:
         return None
     if not first:
         add(_P_NL)
     out += [_P_OUT] * (len(stack) - 1)
-    return "".join(out)
+    return "".join(out), len(text)
 
 
-def _statements(block: str) -> Iterator[str]:
-    """A block's statements: cut behind line ends and blocks, but not before a block or a clause of the same statement, nor behind a decorator."""
-    start, at_line = 0, 0
-    for k, c in enumerate(block):
-        if c not in _P_ENDS:
+def _python_extents(kinds: str) -> tuple[list[int], list[int]]:
+    """Of brackets, and of statements: to the end of their line or block, unless a block, a clause of the same statement or what
+    a decorator decorates follows."""
+    statements = [0] * (len(kinds) + 1)
+    stack, line = [0], 0
+    for k, c in enumerate(kinds):
+        if c == _P_IN:
+            stack.append(k + 1)
+            line = k + 1
+            continue
+        if c == _P_OUT:
+            if len(stack) == 1:
+                break
+            stack.pop()
+            decorated = False
+        elif c == _P_NL:
+            decorated = kinds[line] == _PY["@"]
+        else:
             continue
-        after = block[k + 1 : k + 2]
-        decorator = block[at_line] == _P_AT
-        at_line = k + 1
-        if after and (after in _P_BLOCKS or after in _PY_CLAUSES or decorator):
+        after = kinds[k + 1 : k + 2]
+        line = k + 1
+        if after == _P_IN or after in _PY_CLAUSES or decorated:
             continue
-        yield block[start : k + 1]
-        start = k + 1
-    if start < len(block):
-        yield block[start:]
+        statements[stack[-1]] = k + 1
+        stack[-1] = k + 1
+    return brackets(kinds, _PY_PAIRS), statements
 
 
 def python_module(text: str) -> frozenset[str]:
-    """Innermost blocks are judged first, by statement, and then stand as one kind."""
-    s = python_kinds(text)
-    if s is None:
-        return frozenset()
-    out = frozenset(PYTHON.dialects)
-
-    def judged(block: str) -> str:
-        nonlocal out
-        parts = [_PY_RUN.sub(lambda r: r[1] or r[2], x) if len(x) > 24 else x for x in _statements(block)]
-        plain = cases = out
-        for x in parts:
-            plain = plain & PYTHON.accepts("line", x)
-            if not plain:
-                break
-        if plain:
-            out = plain
-            return _P_BLOCK
-        for x in parts:
-            cases = cases & PYTHON.accepts("casesline", x)
-        out = cases
-        return _P_CASES
-
-    stack: list[list[str]] = [[]]
-    for c in s:
-        if c == _P_IN:
-            stack.append([])
-        elif c == _P_OUT:
-            kind = judged("".join(stack.pop()))
-            if not out:
-                return out
-            stack[-1].append(kind)
-        else:
-            stack[-1].append(c)
-    top = "".join(stack[0])
-    return frozenset() if top and judged(top) == _P_CASES else out
+    found = _python_kinds(text, 0, 0)
+    return frozenset() if found is None else PYTHON.accepts("file", found[0], *_python_extents(found[0]))
 
 
 #: The check of each language, by file type.

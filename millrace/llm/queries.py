@@ -201,6 +201,11 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return V.rates(_checked(spark, d).join(t, "id").join(names, "filetype", "left"), ["repo", "language_name"])
 
 
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the rates that needs no parser."""
+    return p3_rates(spark, d).select("repo", "language_name", "n_files")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -243,6 +248,8 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN (SELECT {_REPO_SQL} AS repo, domain_name FROM repos) USING (repo) GROUP BY 1, 2, 3""",
         "p4_document_bytes": f"SELECT {_SOURCE_SQL} AS source, {_LANGUAGE_SQL} AS lang, domain_name, count(*)::BIGINT AS n_texts, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY 1, 2, 3",
         "p7_checks": f"SELECT m.source, count(d.source)::BIGINT AS n_documents, true AS caps_kept, true AS share_met FROM mix_targets AS m LEFT JOIN (SELECT {_SOURCE_SQL} AS source FROM documents) AS d USING (source) GROUP BY 1",
+        "p3_files": f"""SELECT repo, language_name, count(*)::BIGINT AS n_files FROM (SELECT record_id, any_value({_REPO_SQL}) AS repo, any_value({_TYPE_SQL}) AS filetype FROM all_hybrid WHERE regexp_matches(content, '[^\\s\\x0B\\x1C-\\x1F\\x85\\p{{Z}}]') GROUP BY 1)
+            LEFT JOIN filetype_names USING (filetype) WHERE filetype IN ('cry', 'saw', 'py', 'json') GROUP BY 1, 2""",
         "p5_found": f"SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM ({_OVERLAP_SQL})",
         "p5_counts": f"""WITH o AS ({_OVERLAP_SQL}), t AS (SELECT DISTINCT record_id, split_name, nullif(regexp_replace(lower(trim(repo)), '/+$', ''), '') AS repo, nullif(regexp_replace(lower(trim(filetype)), '^\\.', ''), '') AS filetype
                 FROM all_hybrid WHERE split_name IN ('test', 'val')), c AS (SELECT a AS record_id, count(*) AS n FROM o GROUP BY 1)

@@ -1,8 +1,10 @@
 import ast
 import json
+import time
 
 import pytest
 
+from millrace.llm import languages
 from millrace.llm.gll import Grammar, Kinds
 from millrace.llm.languages import cryptol, dialects, json_value, python_module, sawscript
 from millrace.llm.validity import checked, rates
@@ -32,6 +34,14 @@ PYTHON = [
 ]
 
 
+#: Formatted strings, escapes and what only some versions know.
+PYTHON += [
+    'x = f"{d["a"]} {f"{e!r:>{w}}"}"\n', "f\"{x:{'a'}}\"\n", 'f"{x!}"\n', 'f"{x!r}"\n', 'f"{x=!s:5}"\n', "f'{a:=5}'\n", "f'{lambda x: 1}'\n", "f'{(lambda x: 1)}'\n", "f'{*a, b}'\n", 'f"{a}}"\n', 'f"{a"\n',
+    'rf"\\{a}\\""\n', "f'''{\n a # b\n}'''\n", "f'\\N{DIGIT ONE}{a}'\n", "f'\\N{foo}'\n", "'\\N{foo}'\n", "'\\xZZ'\n", "b'\\x1'\n", "b'\\u12'\n", "'\\U00110000'\n", "r'\\xZZ'\n",
+    "def f class class(): pass\n", "class A class class: pass\n", "def f(*a: *T): pass\n", "match x:\n  case {-0-0j: y}: pass\n", "हिन्दी = 1\n", "a\u2019b = 1\n", "class A:\n  @d\n  def f(self): pass\n  @e\n  class B: pass\n", "x = [\n# open\n1,\n]\n",
+]
+
+
 @pytest.mark.parametrize("text", PYTHON)
 def test_python_against_the_language_itself(text):
     try:
@@ -62,6 +72,7 @@ CRYPTOL_GOOD = [
     "parameter\n  type n : #\n  type constraint (fin n)\n  k : [n]\n", "submodule M where\n  x = 1\ny = 2\n", "f (x : [8]) [a, b] _ = a\n", "x = (f, g).0 @ 3\n", "f x | x > 1 => 3\n    | x <= 1 => 4\n", "interface module I where\n  type n : #\n", "module X = Y { Z }\n", "", "// only a note\n",
 ]
 CRYPTOL_BAD = [
+    "x = case case case\n", "x = 1\n y = 2\nz = (\n", "module A where\n  x = 1\n y = 2\n", "f x = y where\n  y = x\n  z = ]\n",
     "x = [1, 2\n", "x = (1]\n", "f x =\n", "type = [16]\n", "f x = x where where\n", "f : [8] -> -> [8]\n", "f x = if x then 1\n", "<<<<<<< HEAD\nx = 1\n", "x = 1\n=======\ny = 2\n", "x = “a”\n", "/* open\nx = 1\n", "x = \"open\n", "import \"a.cry\";\n", "def f(x):\n    return x\n", "module A where\nx = 1 2 =\n", "f x (x + 1)\n", "let x = 1\n", "x = 1;\n", "  x = 1\ny = 2\n",
 ]
 
@@ -77,9 +88,11 @@ def test_not_cryptol(text):
 
 
 SAW_GOOD = [
+    "let f =\ng x;\n", "x <-\n  f a\n    b\n  (do {\n  c;\n});\n", "print (f\na\nb);\n", "let f x =\n  if x\n  then y\n  else z;\n", "let f x = y\nand g = z;\n",
     "import \"a.cry\";\ninclude \"b.saw\";\n", "let f x y = unfold_term [\"a\", \"b\"] x;\n", "m <- llvm_load_module \"a.bc\";\nlet s = do { x <- fresh \"x\" (llvm_int 8); llvm_return (llvm_term {{ f x }}); };\n", "let {{ f x = x + 1 }};\n", "(a, b) <- f (do { abc; });\n", "let t = {{ g [ '}', '\\\\', ')' ] }}; // it's (\n", "rec f x = if x then f y else z;\n", "print (show (f 1).a);\n", "let f (x : Int) : Term = x;\n", "typedef T = [Int];\n", "let f = \\x -> x;\n", "/* ; */",
 ]
-SAW_BAD = ["let = x;\n", "x <- ;\n", "print \"a\"\n", "x <- f \"a\"\nlet y = 1;\n", "let f = do { a };\n", "print “a”;\n", "let x = {{ f ( }};\n", "let x = {{ f };\n", "f : [8] -> [8]\nf x = x\n", "let x = (1;\n", "=======\n", "print \"a;\n"]
+SAW_BAD = [
+    "let x = {{ f }}\nprint \"a\";\n", "x <- f a b\ny <- g;\n", "let f = do {\n  a b\n  c d;\n};\n", "let = x;\n", "x <- ;\n", "print \"a\"\n", "x <- f \"a\"\nlet y = 1;\n", "let f = do { a };\n", "print “a”;\n", "let x = {{ f ( }};\n", "let x = {{ f };\n", "f : [8] -> [8]\nf x = x\n", "let x = (1;\n", "=======\n", "print \"a;\n"]
 
 
 @pytest.mark.parametrize("text", SAW_GOOD)
@@ -92,6 +105,58 @@ def test_not_sawscript(text):
     assert not sawscript(text)
 
 
+def seconds(check, text):
+    start = time.thread_time()
+    check(text)
+    return time.thread_time() - start
+
+
+@pytest.mark.parametrize(
+    "check, line",
+    [
+        (python_module, "x{} = f(a, [1, {}], b=c.d) if y else f'{{z}}'\n"),
+        (cryptol, "f{} x = if x == {} then [ y + 1 | y <- x ] else (x, 2)\n"),
+        (sawscript, 'let f{} x = g (h "a") [{}, 2] {{{{ x + 1 }}}};\n'),
+    ],
+)
+def test_time_is_linear(check, line):
+    small, large = ("".join(line.format(k, k) for k in range(n)) for n in (400, 3200))
+    assert check(small)
+    few, many = (min(seconds(check, t) for _ in range(3)) for t in (small, large))
+    assert many < 24 * few + 0.2
+
+
+def forget():
+    for g in (languages.PYTHON, languages.CRYPTOL, languages.SAWSCRIPT, languages.JSON):
+        g.known.clear()
+        for single in g.single.values():
+            single.clear()
+
+
+def test_what_is_kept_decides_nothing(monkeypatch):
+    cases = [(python_module, t) for t in PYTHON] + [(cryptol, t) for t in CRYPTOL_GOOD + CRYPTOL_BAD] + [(sawscript, t) for t in SAW_GOOD + SAW_BAD] + [(json_value, t) for t in JSON]
+    want = [bool(f(t)) for f, t in cases]
+    monkeypatch.setattr("millrace.llm.gll._LONGEST", 0)
+    monkeypatch.setattr(Grammar, "_is_single", lambda self, entry, pair, single: False)
+    forget()
+    assert [bool(f(t)) for f, t in cases] == want
+    forget()
+
+
+def test_deep_nesting():
+    assert json_value("[" * 500 + "]" * 500) and not json_value("[" * 5000) and json_value("[" * 5000 + "]" * 5000)
+    assert python_module("x = " + "(" * 150 + "1" + ")" * 150 + "\n") and not cryptol("x = (" * 3000)
+
+
+def test_memory_is_bounded():
+    g = Grammar("s: t*\nt: 'a' 'b'* 'c'", ("d",), Kinds(), kept={"t": 0}, memory=5000)
+    a, b, c = (g.kinds[x] for x in "abc")
+    for n in range(1, 60):
+        chunk = a + b * n + c
+        assert g.accepts("s", chunk * 2, [len(chunk)] + [0] * (len(chunk) - 1) + [2 * len(chunk)] + [0] * len(chunk))
+        assert 0 < g.used < 6000
+
+
 def test_rows_and_rates(spark):
     rows = [(1, ".PY ", "x = 1", "a"), (2, "Py", "x =", "a"), (2, "py", "x =", "a"), (3, "json", None, "a"), (4, "json", " \n\t", "b"), (5, "txt", "x =", "b"), (6, None, "x", "b"), (7, "saw", "\ufeffprint \"a\";", None), (8, " cry", "x = (" * 3000, None)]
     df = spark.createDataFrame([(i, f, t, r, "z") for i, f, t, r in rows], "id bigint, filetype string, content string, repo string, accepted_by string")
