@@ -108,16 +108,30 @@ def bounded(df: DataFrame, name: str) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 10_000, 1e-4
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+def hot_keys(left: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame | None:
+    """The values of `key` with more than `hot_rows` rows (or HOT_ROWS and HOT_SHARE of all), of which there are few; None for none."""
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    if hot_rows is None:
+        hot_rows = HOT_ROWS
+        counts = counts.where(F.col("_n") > HOT_ROWS)
+    hot = counts.where(F.col("_n") > hot_rows)
+    most = BROADCAST_BYTES // 200
+    rows = hot.select(key, "_n").limit(most + 1).collect()
+    if len(rows) > most:  # more than so many values of so many rows: take those with a share of all
+        least = max(hot_rows, int(left.count() * HOT_SHARE))
+        rows = hot.where(F.col("_n") > least).collect()
+    return local(left.sparkSession, [(r[key],) for r in rows], left.select(key).schema) if rows else None
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | int | None = None) -> DataFrame:
     """`left` joined with `right` on `key`, of which `right` has one row for each value, where any value may hold a large part of `left`.
 
-    Values with many rows are at most 1 / HOT_SHARE: their rows of `right` are broadcast, so that no task gathers them; the others
-    are joined by partitions. `left` should be a written table: it is read three times.
+    The values with many rows, `hot` if `hot_keys` has already told them or by that bound, are few: their rows of `right` are broadcast, so
+    that no task gathers them; the others are joined by partitions. `left` should be a written table: it is read more than once.
     """
-    if hot_rows is None:
-        hot_rows = max(HOT_ROWS, int(left.count() * HOT_SHARE) + 1)
-    hot = cut(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(key), "hot")
-    if hot.isEmpty():
+    if not isinstance(hot, DataFrame):
+        hot = hot_keys(left, key, hot)
+    if hot is None:
         return left.join(right, key)
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     return left.join(few, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
