@@ -1,14 +1,14 @@
 """Near copies by an inverted index over the byte positions of digests.
 
-Each text gets a digest of `positions` two-byte places; place k holds 16 bits of the least value that hash
+Each text gets a digest of `places` two-byte places; place k holds 16 bits of the least value that hash
 function k takes on the text's word runs, so two texts agree at a place with a chance equal to their
-similarity s = |A & B| / |A | B|. The index lists texts under (byte offset, the six bytes from there), which
-spreads its lists over 2^48 values, so that a list holds only texts that really share runs. Every pair
-that meets in some list has its shared places tallied over the whole digest, pairs with fewer than the guaranteed
-minimum are dropped, and the rest are compared exactly.
+similarity s = |A & B| / |A | B|. The inverted index posts each text under the bytes at its byte positions, `together` places
+(four bytes) to a position. Pairs that meet in a list are tallied, position by position, and pairs with fewer than the guaranteed
+minimum of shared positions are dropped; the rest are compared exactly.
 
-For a pair with s = 0.7 the chance to be missed by all 24 lists is (1 - 0.7^3)^24 = 4e-5, and the minimum
-number of shared places is set so that such a pair falls below it with a chance under 1e-6.
+A position of one place would be shared with the chance s, but texts of one corpus share so many word runs that 19,366 different texts then
+meet 46 million times, against 169 thousand times at positions of two places, where unlike texts meet with the chance s squared. The
+minimum is set so that a pair with s just at the threshold falls below it with a chance under `missed`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import shingles as S
 from millrace.llm.verify import common_runs
-from millrace.shared import cut
+from millrace.shared import bounded, cut, hot_keys, looked_up
 
 PLACE_BYTES = 2
 
@@ -37,13 +37,13 @@ class Digest:
     texts instead of by a row for each pair; both ways find the same pairs."""
 
     positions: int = 72
-    together: int = 3
+    together: int = 2
     threshold: float = 0.8
     run_words: int = 5
     least_words: int = 20
     missed: float = 1e-6
     long_list: int = 500
-    block: int = 1000
+    block: int = 8192
 
     @property
     def lists(self) -> int:
@@ -51,12 +51,12 @@ class Digest:
 
     @property
     def minimum(self) -> int:
-        """The largest m with P(Binomial(positions, threshold) < m) <= missed."""
-        n, p, below = self.positions, self.threshold, 0.0
+        """The largest m with P(Binomial(lists, threshold ^ together) < m) <= missed, at least 1."""
+        n, p, below = self.lists, self.threshold**self.together, 0.0
         for m in range(n + 1):
             below += math.comb(n, m) * p**m * (1 - p) ** (n - m)
             if below > self.missed:
-                return m
+                return max(m, 1)
         return n
 
 
@@ -96,20 +96,8 @@ def digests(records: DataFrame, how: Digest) -> DataFrame:
     return records.select("id", "content").where(F.col("content").isNotNull()).mapInArrow(batches, "id bigint, print bigint, digest binary")
 
 
-def _tallied(pairs: DataFrame, classes: DataFrame, how: Digest) -> DataFrame:
-    """The pairs (a, b) with at least the guaranteed minimum of shared places."""
-    same = f"""aggregate(sequence(0, {how.positions - 1}), 0, (n, k) -> n + if(
-        substring(digest_a, k * {PLACE_BYTES} + 1, {PLACE_BYTES}) = substring(digest_b, k * {PLACE_BYTES} + 1, {PLACE_BYTES}), 1, 0))"""
-    return (
-        pairs.join(classes.select(F.col("rep").alias("a"), F.col("digest").alias("digest_a")), "a")
-        .join(classes.select(F.col("rep").alias("b"), F.col("digest").alias("digest_b")), "b")
-        .where(F.expr(same) >= how.minimum)
-        .select("a", "b")
-    )
-
-
 def _tallied_blocks(rows: DataFrame, how: Digest) -> DataFrame:
-    """The same for rows (key, n, rep, digest) of long lists, without a row for each pair that meets.
+    """Pairs (a, b) with the minimum of shared positions for rows (key, n, rep, digest) of long lists, without a row for each pair that meets.
 
     A list of n texts is cut by hashed ids into blocks; a task takes two blocks (or one with itself), tallies all their pairs in memory
     and returns those over the minimum. So a list of any length spreads over tasks that each hold at most about 2 * `block` digests.
@@ -118,18 +106,22 @@ def _tallied_blocks(rows: DataFrame, how: Digest) -> DataFrame:
     own = rows.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "digest")
+    width = how.together * PLACE_BYTES
 
     def tally(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         reps, own = pdf["rep"].to_numpy(), pdf["own"].to_numpy()
-        places = np.frombuffer(b"".join(pdf["digest"]), np.uint16).reshape(len(pdf), how.positions)
+        bytes_ = np.frombuffer(b"".join(pdf["digest"]), np.uint8).reshape(len(pdf), -1)
+        values = np.zeros((len(pdf), how.lists), np.uint64)
+        for b in range(width):
+            values = values << np.uint64(8) | bytes_[:, b : how.lists * width : width]
         left, right = (np.flatnonzero(own == k) for k in (i, j))
         out: list[np.ndarray] = []
         for start in range(0, len(left), 64):
             part = left[start : start + 64]
             n = np.zeros((len(part), len(right)), np.uint8)
-            for k in range(how.positions):
-                n += places[part, k][:, None] == places[right, k][None, :]
+            for k in range(how.lists):
+                n += values[part, k][:, None] == values[right, k][None, :]
             x, y = np.nonzero(n >= how.minimum)
             out.append(np.column_stack((reps[part[x]], reps[right[y]])))
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -141,15 +133,22 @@ def _tallied_blocks(rows: DataFrame, how: Digest) -> DataFrame:
 
 
 def candidates(classes: DataFrame, how: Digest) -> DataFrame:
-    """Pairs (a, b), a < b, of the rows (rep, digest) that share a list and at least the guaranteed minimum of places."""
+    """Pairs (a, b), a < b, of the rows (rep, digest) that share at least the guaranteed minimum of positions.
+
+    Short lists are joined with themselves, and the shared positions of each pair that meets are counted. A pair that meets in a long list is
+    tallied there over all its positions, whatever it shares besides.
+    """
     width = how.together * PLACE_BYTES
     listed = classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {how.lists - 1}), k -> xxhash64(k, substring(digest, k * {width} + 1, {width})))")).alias("key"))
     lengths = cut(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     short = listed.join(lengths.where(F.col("n") <= how.long_list).select("key"), "key")
     left, right = short.withColumnRenamed("rep", "a"), short.withColumnRenamed("rep", "b")
-    met = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    long = listed.join(lengths.where(F.col("n") > how.long_list), "key").join(classes.select("rep", "digest"), "rep")
-    return _tallied(met, classes, how).union(_tallied_blocks(long, how)).distinct()
+    met = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= how.minimum).select("a", "b")
+    lists = bounded(lengths.where(F.col("n") > how.long_list), "long")
+    if lists.isEmpty():
+        return met
+    long = listed.join(lists, "key").join(classes.select("rep", "digest"), "rep")
+    return met.union(_tallied_blocks(long, how)).distinct()
 
 
 @dataclass
@@ -171,7 +170,7 @@ def near_copies(records: DataFrame, how: Digest = Digest()) -> NearCopies:
     digested = cut(digests(records, how), "digests")
     classes = digested.groupBy("print").agg(F.min("id").alias("rep"), F.first("digest").alias("digest"))
     classes = cut(classes, "classes")
-    members = digested.select("id", "print").distinct().join(classes.select("print", "rep"), "print").select("id", "rep")
+    members = cut(looked_up(cut(digested.select("id", "print").distinct(), "prints"), classes.select("print", "rep"), "print").select("id", "rep"), "members")
     pairs = cut(candidates(classes, how), "candidates")
     top, bottom = _ratio(how.threshold)
     links = (
@@ -188,16 +187,29 @@ def _ratio(x: float) -> tuple[int, int]:
     return round(x * 10_000), 10_000
 
 
+#: Members of a class that are joined with others at a time.
+MEMBERS = 1000
+
+
 def all_pairs(found: NearCopies) -> DataFrame:
-    """(record_a, record_b), record_a < record_b: the links between classes and the pairs within a class, by single ids."""
-    m = found.members
-    within = m.select("rep", F.col("id").alias("x")).join(m.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    between = (
-        found.links.select("a", "b")
-        .join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-        .join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-        .select("x", "y")
-    )
+    """(record_a, record_b), record_a < record_b: the links between classes and the pairs within a class, by single ids.
+
+    This is as long as there are pairs; members and links say the same in less. Classes are cut by hashed ids into blocks of about MEMBERS, and
+    blocks are joined with blocks, so that no task gathers a large class.
+    """
+    sizes = cut(found.members.groupBy("rep").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m"), F.count("*").alias("n")), "sizes")
+    members = cut(looked_up(found.members, sizes, "rep").withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")), "members")
+    met = members.where("n > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    met = met.select("rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id")
+    left, right = met.where("own = i").select("rep", "i", "j", F.col("id").alias("x")), met.where("own = j").select("rep", "i", "j", F.col("id").alias("y"))
+    within = left.join(right, ["rep", "i", "j"]).where("i < j OR x < y").select("x", "y")
+    links = found.links.select("a", "b")
+    for side in ("a", "b"):
+        links = cut(looked_up(links, sizes.select(F.col("rep").alias(side), F.col("m").alias(f"m_{side}")), side), "sized")
+    for side in ("a", "b"):
+        links = links.withColumn(f"own_{side}", F.explode(F.sequence(F.lit(0), F.col(f"m_{side}") - 1)))
+    one = lambda side, name: members.select(F.col("rep").alias(side), F.col("own").alias(f"own_{side}"), F.col("id").alias(name))
+    between = links.join(one("a", "x"), ["a", "own_a"]).join(one("b", "y"), ["b", "own_b"]).select("x", "y")
     return within.unionByName(between).select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
 
 
@@ -206,20 +218,23 @@ def groups(found: NearCopies, rounds: int = 60) -> DataFrame:
 
     Labels move along links and then jump to their label's label, so the rounds grow with the logarithm of a
     group's diameter. Only classes with a link take part; n_links counts the linked classes of an id's class.
+    A class with very many links and a label of very many classes are taken apart from the joins (see `looked_up`).
     Raises RuntimeError if labels still move after `rounds`.
     """
     links = found.links.select("a", "b")
     both = cut(links.union(links.select("b", "a")), "edges")
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("n_links")), "labels")
+    hubs = hot_keys(both, "b")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        step = labels.join(near, "a").join(jump, "label", "left").select("a", F.least("label", "near", "far").alias("new"), "label", "n_links")
-        step = cut(step, "labels")
+        near = looked_up(both, labels.select(F.col("a").alias("b"), "label"), "b", hubs).groupBy("a").agg(F.min("label").alias("near"))
+        moved = cut(labels.join(near, "a"), "moved")
+        far = looked_up(moved, labels.select(F.col("a").alias("label"), F.col("label").alias("far")), "label")
+        step = cut(far.select("a", F.least("label", "near", "far").alias("new"), "label", "n_links"), "labels")
         labels = step.select("a", F.col("new").alias("label"), "n_links")
         if step.where("new <> label").isEmpty():
             break
     else:
         raise RuntimeError(f"groups are still growing after {rounds} rounds")
-    m = found.members.join(labels.withColumnRenamed("a", "rep"), "rep", "left")
+    every = found.members.select("rep").distinct().join(labels.withColumnRenamed("a", "rep"), "rep", "left")
+    m = looked_up(found.members, every, "rep")
     return m.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))

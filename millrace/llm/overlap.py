@@ -3,8 +3,9 @@
 The word runs of the evaluation records are hashed. A training record that holds at least `share` of the n distinct
 runs of an evaluation record also holds some of any floor((1 - share) * n) + 1 of them, so only that many, the rarest
 among the evaluation records, are indexed, plus `spare` more, and a pair must then hit spare + 1 of them. The
-scan of the training records passes only the runs whose bit is set in a bitmap of fixed size, and hits are
-joined with the index by hash, partitioned on both sides. Pairs with enough hits are compared exactly. Texts with equal word
+scan of the training records passes only the runs whose bit is set in a bitmap of the indexed ones (all runs, where these are too many for
+one), and hits are joined with the index by hash, partitioned on both sides. A run on which very many records of both sides
+meet is split over tasks. Pairs with enough hits are compared exactly. Texts with equal word
 sequences make one class on either side, which takes part once; classes become ids again at the end.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql.window import Window
 from millrace.llm import shingles as S
 from millrace.llm.bitmaps import bitmap, within
 from millrace.llm.verify import common_runs
-from millrace.shared import cut
+from millrace.shared import bounded, cut, looked_up
+
 
 @dataclass(frozen=True)
 class Containment:
@@ -67,10 +69,28 @@ def _runs(records: DataFrame, how: Containment, bits: object = None) -> DataFram
 def _classes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, n, runs), one row for each class of texts with equal word sequences, and the members (rep, id)."""
     classes = runs.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("runs").alias("runs"))
-    members = runs.select("print", "id").distinct().join(classes.select("print", "rep"), "print").select("rep", "id")
+    classes = cut(classes, "classes")
+    members = looked_up(cut(runs.select("print", "id").distinct(), "prints"), classes.select("print", "rep"), "print").select("rep", "id")
     return classes.drop("print"), members
 
 
+#: Meetings on one run that a task makes, about.
+MEETINGS = 1_000_000
+
+
+def _meetings(hits: DataFrame, index: DataFrame, most: int = MEETINGS) -> DataFrame:
+    """`hits` (b, run) joined with `index` (run, a, needed). Runs with more than `most` meetings are split: the hits by hashed ids, the index
+    copied for each part."""
+    counts = index.groupBy("run").agg(F.count("*").alias("n_a")).join(hits.groupBy("run").agg(F.count("*").alias("n_b")), "run")
+    split = bounded(counts.where(F.col("n_a") * F.col("n_b") > most).select("run", F.least("n_b", F.ceil(F.col("n_a") * F.col("n_b") / most)).cast("int").alias("parts")), "split")
+    if split.isEmpty():
+        return hits.join(index, "run")
+    parts = F.coalesce("parts", F.lit(1))
+    left = hits.join(split, "run", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    right = index.join(split, "run", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["run", "part"]).drop("part")
+
+
 def overlaps(evaluation: DataFrame, training: DataFrame, how: Containment = Containment()) -> DataFrame:
     """(eval_id, train_id, n_common, n_eval): all pairs where the training text holds at least `share` of the evaluation
     text's distinct word runs.
@@ -78,9 +98,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, how: Containment = Cont
     Both sides have `id` (not null) and `content`; further columns are ignored, and rows that repeat an id count once.
     Null, empty and short texts are in no pair. An id may be on both sides; it is not paired with itself.
     """
-    spark = evaluation.sparkSession
     own, own_members = _classes(cut(_runs(evaluation, how), "runs"))
-    own = cut(own, "classes")
     single = own.select(F.col("rep").alias("a"), "n", F.explode("runs").alias("run"))
     common = single.groupBy("run").agg(F.count("*").alias("df"))
     ranked = (
@@ -92,10 +110,10 @@ def overlaps(evaluation: DataFrame, training: DataFrame, how: Containment = Cont
     # a pair holds at least ceil(share * n) of the n runs, so it misses at most the rest of any choice of them
     chosen = ranked.where(F.expr(f"rank <= n - ceil(n * {least} / 10000) + needed"))
     index = cut(chosen.select("run", "a", "needed"), "index")
-    bits = spark.sparkContext.broadcast(bitmap(index.select("run")))
+    bits = bitmap(index.select("run"))
     others, other_members = _classes(cut(_runs(training, how, bits), "hits"))
     hits = others.select(F.col("rep").alias("b"), F.explode("runs").alias("run"))
-    pairs = hits.join(index, "run").groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("a", "b")
+    pairs = _meetings(hits, index).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("a", "b")
     texts = evaluation.select("id", "content").unionByName(training.select("id", "content"))
     found = common_runs(cut(pairs, "candidates"), texts, how.run_words).where(F.col("n_common") * 10_000 >= F.col("n_a") * least)
     return (

@@ -8,7 +8,9 @@ import pytest
 from millrace.llm import near_copies as N
 from millrace.llm import overlap as O
 from millrace.llm import shingles as S
+from millrace.llm.bitmaps import bitmap, hashed_ids, id_hashes, within
 from millrace.llm.near_copies import Digest, all_pairs, groups, near_copies
+from millrace.llm.overlap import _meetings as meetings
 
 KIND = "id bigint, content string, a int, b int, key string, runs string, n int, rep int, digest string"
 
@@ -117,7 +119,31 @@ def test_empty_tables(spark):
 def test_minimum_is_the_binomial_tail():
     how = Digest(threshold=0.7)
     rng = np.random.default_rng(0)
-    assert (rng.binomial(how.positions, 0.7, 200_000) < how.minimum).mean() < 5e-6 and how.minimum > how.positions / 4
+    assert (rng.binomial(how.lists, 0.7**2, 200_000) < how.minimum).mean() < 5e-6 and how.minimum > 3
+    assert Digest(threshold=0.9).minimum > Digest(threshold=0.8).minimum > how.minimum
+
+
+def test_without_room_for_a_bitmap_and_with_split_runs_the_same_is_found(spark, monkeypatch):
+    rows = corpus(5)
+    df, how = frame(spark, rows), Digest(threshold=0.7, run_words=3)
+    want = {tuple(r) for r in all_pairs(near_copies(df, how)).collect()}
+    both = {tuple(r) for r in O.overlaps(df, df, O.Containment(0.8, 3, 20)).collect()}
+    monkeypatch.setattr("millrace.llm.verify.bitmap", lambda hashes: None)
+    monkeypatch.setattr("millrace.llm.overlap.bitmap", lambda hashes: None)
+    monkeypatch.setattr("millrace.llm.overlap._meetings", lambda hits, index: meetings(hits, index, 3))
+    monkeypatch.setattr("millrace.llm.near_copies.MEMBERS", 2)
+    monkeypatch.setattr("millrace.shared.HOT_ROWS", 3)
+    assert {tuple(r) for r in all_pairs(near_copies(df, how)).collect()} == want and len(want) > 60
+    assert {tuple(r) for r in O.overlaps(df, df, O.Containment(0.8, 3, 20)).collect()} == both and both
+    label = {r["id"]: r["group_id"] for r in groups(near_copies(df, how)).collect()}
+    assert all(label[a] == label[b] for a, b in want)
+
+
+def test_bitmaps(spark):
+    ids = spark.range(3000).select("id")
+    bits = bitmap(hashed_ids(ids))
+    inside, outside = (within(bits.value, id_hashes(np.arange(a, a + 3000))) for a in (0, 10**6))
+    assert inside.all() and outside.mean() < 0.2 and bitmap(hashed_ids(ids), 10) is None
 
 
 @pytest.mark.parametrize("share", [0.8, 1.0])
