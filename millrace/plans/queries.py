@@ -297,10 +297,10 @@ def eos_offsets(spark, d):
 
 
 def _windows_sql(rows: str, tokens: str, stride: int, columns: str = "", size: int = 256, most: float | str = MOST) -> str:
-    return f"""WITH RECURSIVE {_offsets_sql(rows, tokens, most)}, w AS (SELECT buf, flatten(list(seg ORDER BY ord)) AS s FROM o GROUP BY buf),
-    x AS (SELECT buf, unnest(range(0, len(s), {stride})) AS pos, s FROM w),
-    i AS (SELECT buf, (pos // {stride})::BIGINT AS win, list_concat(s[pos + 1 : pos + {size}], list_transform(range(0, greatest({size} - (len(s) - pos), 0)), lambda k: {PAD}::BIGINT)) AS ids FROM x),
-    e AS (SELECT buf, win, ids, list_transform(ids, lambda t: CASE WHEN t = {PAD} THEN -100 ELSE t END) AS labels FROM i)
+    return f"""WITH RECURSIVE {_offsets_sql(rows, tokens, most)}, t AS (SELECT buf, off + k - 1 AS pos, token FROM (SELECT buf, off, unnest(seg) AS token, generate_subscripts(seg, 1) AS k FROM o)),
+    x AS (SELECT buf, pos, token, unnest(range(greatest(0, (pos - {size} + {stride}) // {stride}), pos // {stride} + 1))::BIGINT AS win FROM t), i AS (SELECT buf, win, list(token ORDER BY pos) AS part FROM x GROUP BY 1, 2),
+    p AS (SELECT buf, win, list_concat(part, list_transform(range(0, {size} - len(part)), lambda k: {PAD}::BIGINT)) AS ids FROM i),
+    e AS (SELECT buf, win, ids, list_transform(ids, lambda t: CASE WHEN t = {PAD} THEN -100 ELSE t END) AS labels FROM p)
     SELECT buf, win, md5(array_to_string(ids, ',')) AS ids_digest, md5(array_to_string(labels, ',')) AS labels_digest{columns} FROM e"""
 
 
@@ -481,13 +481,13 @@ def _pretrain_sql(how: Packer, sequences: int, eval_seed: int, epochs: int = 1,
     rows = f"""WITH r AS (SELECT id, content, CASE filetype WHEN 'cry' THEN 0 WHEN 'saw' THEN 1 ELSE 2 END AS kind, {u} AS u, row_number() OVER (PARTITION BY filetype ORDER BY {u}, id) AS rank,
             count(*) OVER (PARTITION BY filetype) AS n FROM ({CORPUS_SQL}) WHERE set_name = 'unsupervised' AND filetype IN ('cry', 'saw', 'txt'))
         SELECT *, row_number() OVER (PARTITION BY split ORDER BY kind, u, id) - 1 AS ord FROM (SELECT id, content, kind, u, {_TOKENS_SQL} AS t, CASE WHEN rank <= ceil(0.1::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM r)"""
-    most = f"(SELECT {how.seq_length * sequences}::DOUBLE * (sum(length(coalesce(content, '')))::DOUBLE / greatest(sum(len(t)), 1)) FROM ({rows}) WHERE split = 'train' AND ord < 400)"
-    plain = f"SELECT id, t, ord, length(content) AS units FROM ({rows}) WHERE split = 'test'"
-    train = f"SELECT id, t, ord + e * (SELECT count(*) FROM ({rows}) WHERE split = 'train') AS ord, length(content) AS units FROM ({rows}), range(0, {epochs}) AS k(e) WHERE split = 'train'"
+    most = f"SELECT {how.seq_length * sequences}::DOUBLE * (sum(length(coalesce(content, '')))::DOUBLE / greatest(sum(len(t)), 1)) AS most FROM base WHERE split = 'train' AND ord < 400"
+    train = f"SELECT id, t, ord + e * (SELECT count(*) FROM base WHERE split = 'train') AS ord, length(content) AS units FROM base, range(0, {epochs}) AS k(e) WHERE split = 'train'"
     made = f"SELECT id, o AS content, ord, units FROM ({_permuted_sql(train, how.fim_rate, how.fim_spm_rate, seed=how.seed)})"
-    first = _windows_sql(made, "content", max(1, int(how.seq_length * (1 - how.overlap_ratio))), size=how.seq_length, most=most)
-    second = _windows_sql(f"SELECT id, t AS content, ord, units FROM ({plain})", "content", how.seq_length, size=how.seq_length, most=most)
-    return f"SELECT *{place}, 'train' AS split FROM ({first}) UNION ALL SELECT *{', NULL::BIGINT AS place' if place else ''}, 'test' AS split FROM ({second})"
+    first = _windows_sql(made, "content", max(1, int(how.seq_length * (1 - how.overlap_ratio))), size=how.seq_length, most="(SELECT most FROM budget)")
+    second = _windows_sql("SELECT id, t AS content, ord, length(content) AS units FROM base WHERE split = 'test'", "content", how.seq_length, size=how.seq_length, most="(SELECT most FROM budget)")
+    return f"""WITH base AS MATERIALIZED ({rows}), budget AS MATERIALIZED ({most})
+        SELECT *{place}, 'train' AS split FROM ({first}) UNION ALL SELECT *{', NULL::BIGINT AS place' if place else ''}, 'test' AS split FROM ({second})"""
 
 
 def _pretrained(train: DataFrame, test: DataFrame) -> DataFrame:
