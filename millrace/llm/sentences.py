@@ -148,11 +148,20 @@ class WordLattice:
 
 
 _LATTICE = WordLattice(FINAL_TH, OPENING_TH, CARRY_BEFORE_TH, CARRY_BEHIND_TH, WORDS_TH, FINAL_LO, OPENING_LO, CARRY_LO)
-_WORDS = dictionary(DICTIONARY)
-_JAPANESE = WordLattice(PARTICLES_JA, more={w: c for w, c in _WORDS.items() if len(w) > 1})
-_CHINESE = WordLattice(SAYING_ZH, more=_WORDS)
 _FINAL, _OPENING = frozenset(FINAL_TH + FINAL_LO), frozenset(OPENING_TH + OPENING_LO)
 _BEFORE, _BEHIND = frozenset(CARRY_BEFORE_TH + CARRY_LO), frozenset(CARRY_BEHIND_TH + CARRY_LO[:5])
+
+
+@lru_cache(maxsize=1)
+def _wide_lattices() -> tuple[WordLattice, WordLattice]:
+    """The lattices of Japanese and Chinese, loaded once a worker by the first text that needs them. Without the dictionary sentences would end at other
+    places, so its lack is a RuntimeError."""
+    words = dictionary(DICTIONARY)
+    if not words:
+        raise RuntimeError(f"{DICTIONARY}: no such file, or no Han or kana words in it; Chinese and Japanese quotes can't be read without it, and it must be on every executor")
+    return WordLattice(PARTICLES_JA, more={w: c for w, c in words.items() if len(w) > 1}), WordLattice(SAYING_ZH, more=words)
+
+
 #: Letters of the scripts with gaps.
 _GAPPED = "฀-๿຀-໿"
 #: Code points of an edge of a stretch, least and most.
@@ -451,12 +460,12 @@ def _goes_on(text: str, sentence: int, opened: int, close: int, end: int, marks:
     c = text[follow]
     if _wide(c) or (kind == "identifier" and follow == close and _wide(text[close - 1])):
         if opener in "「『｢" or "぀" <= c <= "ヿ":
-            first = _JAPANESE.path(text[follow : _stop(marks, follow, end)])[:1]
+            first = _wide_lattices()[0].path(text[follow : _stop(marks, follow, end)])[:1]
             if first and first[0] in PARTICLES_JA:
                 return True
         if not at_start or c in _OPENERS:
             return False
-        return any(w in SAYING_ZH for w in _CHINESE.path(text[follow : _stop(marks, follow, end)]))
+        return any(w in SAYING_ZH for w in _wide_lattices()[1].path(text[follow : _stop(marks, follow, end)]))
     if not at_start or c in _OPENERS:
         return False
     said = text[follow : _stop(marks, follow, end)].split()

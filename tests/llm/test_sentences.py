@@ -1,5 +1,10 @@
+import sys
+import types
+from pathlib import Path
+
 import pytest
 
+from millrace.llm import sentences as module
 from millrace.llm.sentences import DICTIONARY, WordLattice, dictionary, gap, learn, sentence_units, sentences
 
 CASES = [
@@ -47,6 +52,23 @@ def test_lattice_takes_the_cheapest_path():
     assert words["知道"] < words["的"] and dictionary("/absent") == {} and 1000 < len(words) < 50_000
 
 
+@pytest.mark.parametrize("held", [None, b"", b"YWI= 0\n"])
+def test_a_missing_dictionary_is_no_result(held, tmp_path, monkeypatch):
+    path = tmp_path / "words.tiktoken"
+    if held is not None:
+        path.write_bytes(held)
+    there = types.ModuleType("sentences_without_words")
+    monkeypatch.setitem(sys.modules, there.__name__, there)
+    exec(Path(module.__file__).read_text("utf-8").replace(DICTIONARY, str(path)), there.__dict__)
+    for case in ("「好。」|他知道了。", "彼は「いい。」|でも帰る。"):
+        text = case.replace("|", "")
+        assert [text[a:b] for a, b in sentences(text)] == case.split("|")
+        with pytest.raises(RuntimeError, match="words.tiktoken"):
+            there.sentences(text)
+    for text in ("\"Stop!\" he said. Then he left.", "今日は。雨。", "他说“好。”后来走了。"):
+        assert there.sentences(text) == sentences(text)
+
+
 def test_blocks():
     text = "# A heading\nText that\nwraps. More\n- item one\n- item two.\n\n  \nLast\n```\ncode. Not.\n```\n1. one\n2. two\nAm\n2. Mai ist\n~~~\nopen. To the end"
     assert [text[a:b] for a, b in sentences(text)] == ["A heading", "Text that\nwraps.", "More", "item one", "item two.", "Last", "one", "two", "Am\n2. Mai ist"]
